@@ -23,7 +23,7 @@ def folded(line: Column) -> Column:
     return F.regexp_replace(lower, "[0-9]+", "0")
 
 
-def summary_lines(pages: DataFrame, *keep: str) -> DataFrame:
+def summary_lines(pages: DataFrame, *keep: str | Column) -> DataFrame:
     """(id, *keep, line_no, line) of non-blank lines; numbers start at 1 and count blank lines too."""
     lines = F.split("summary", "\n")
     return (

@@ -3,14 +3,54 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from crawlmill.llm import residue
+from crawlmill.llm import language, residue, site_lines
 from crawlmill.sources.tables import table
 
 
+def _pages(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "pages")
+
+
+def _sound(rows: DataFrame, spark: SparkSession, root: str) -> DataFrame:
+    return residue.without_residue(rows, _pages(spark, root), table(spark, root, "crawler_queue"))
+
+
+def p3_languages(spark: SparkSession, root: str) -> DataFrame:
+    """Language and confidence of every page and of every line in another language."""
+    pages = _pages(spark, root)
+    profiles = language.fit_profiles(table(spark, root, "lang_samples"), pages)
+    return language.label_languages(pages, profiles)
+
+
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    faults = language.language_faults(_pages(spark, root), p3_languages(spark, root))
+    return _sound(faults, spark, root)
+
+
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
-    return residue.residue_pages(table(spark, root, "pages"), table(spark, root, "crawler_queue"))
+    return residue.residue_pages(_pages(spark, root), table(spark, root, "crawler_queue"))
+
+
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    lines = _sound(site_lines.hashed_lines(_pages(spark, root)), spark, root)
+    return site_lines.repeated_lines(lines)
+
+
+def p6_clean(spark: SparkSession, root: str) -> DataFrame:
+    """Every summary without the lines repeated over its site."""
+    return site_lines.without_lines(_pages(spark, root), p6_found(spark, root))
+
 
+QUERIES = {
+    "p3_found": p3_found,
+    "p3_languages": p3_languages,
+    "p5_found": p5_found,
+    "p6_found": p6_found,
+    "p6_clean": p6_clean,
+}
 
-QUERIES = {"p5_found": p5_found}
+_DIGITS = "regexp_replace({}, '[0-9]+', '0', 'g')"
+_BLANK = r"[\t\r\f\v\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000} ]+"
 SQL: dict[str, str] = {}

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crawlmill.llm.lines import squeezed, with_host
+from crawlmill.llm.lines import with_host
 from crawlmill.session import cut
 
 #: Pages and hosts a suspicious response must stand on; one page less where scripts are needed.
@@ -141,9 +141,16 @@ _TITLE = _bare(rf"^ ?{_any(EMPTY_TITLES)}( [-–|] [^-–|]+)? ?$")
 _HINT = _bare(_any(HINTS))
 
 
+# White space that is no line feed and no plain space.
+_BLANKS = "\t\r\f\v\u00a0\u2002\u2003\u2009\u202f\u3000"
+
+
 def terms_text(text: Column) -> Column:
     """``text`` as the detectors read it: lower case, single spaces, letters without marks; null is ''."""
-    return F.translate(F.lower(squeezed(F.coalesce(text, F.lit("")))), _MARKED, _BARE)
+    bare = F.translate(F.lower(F.coalesce(text, F.lit(""))), _MARKED + _BLANKS, _BARE + " " * len(_BLANKS))
+    for run in ("    ", "  ", "  "):
+        bare = F.replace(bare, F.lit(run), F.lit(" "))
+    return bare
 
 
 def _detect(title: Column, text: Column) -> Column:
@@ -159,14 +166,6 @@ def _detect(title: Column, text: Column) -> Column:
     )
 
 
-def certain(title: Column, summary: Column) -> Column:
-    """Whether a detector is certain of residue; false for null and blank texts."""
-    bare = terms_text(title)
-    both = F.struct(bare.alias("t"), F.concat(bare, F.lit("\n"), terms_text(summary)).alias("s"))
-    # exists() over one element: the folded text is made once for all detectors
-    return F.exists(F.array(both), lambda x: _detect(x["t"], x["s"]))
-
-
 def _terms(text: Column) -> Column:
     return F.filter(F.split(text, r"[^a-z]+"), lambda w: F.length(w) >= 4)
 
@@ -174,22 +173,25 @@ def _terms(text: Column) -> Column:
 def _hinted_lines(title: Column, slug: Column, summary: Column) -> Column:
     """Short lines with a hint that share no term with title and slug, digits masked."""
     lines = F.filter(
-        F.split(terms_text(summary), "\n"),
+        F.split(summary, "\n"),
         lambda x: (F.length(x) <= 110) & x.rlike(_HINT) & ~x.rlike(r"^ ?(-|•|\*|©)|[|·»]|cookie"),
     )
-    known = _terms(F.concat_ws(" ", terms_text(title), F.lower(slug)))
+    known = _terms(F.concat_ws(" ", title, slug))
     apart = F.filter(lines, lambda x: ~F.arrays_overlap(_terms(x), known))
     return F.transform(apart, lambda x: F.regexp_replace(F.trim(x), "[0-9]+", "0"))
 
 
 def signals(pages: DataFrame) -> DataFrame:
     """(id, url, host, sure, hints) of the pages with any sign of residue, in one pass over the texts."""
-    slug = F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), "([^/]*)/?$", 1)
-    found = with_host(pages).select(
-        "id", "url", "host",
-        certain(F.col("title"), F.col("summary")).alias("sure"),
-        _hinted_lines(F.col("title"), slug, F.col("summary")).alias("hints"),
-    )
+    slug = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), "([^/]*)/?$", 1))
+    title = terms_text(F.col("title"))
+    read = F.struct(title.alias("t"), F.concat(title, F.lit("\n"), terms_text(F.col("summary"))).alias("s"), slug.alias("u"))
+    # transform() over one element: the folded text is made once for all detectors
+    signs = F.transform(
+        F.array(read),
+        lambda x: F.struct(_detect(x["t"], x["s"]).alias("sure"), _hinted_lines(x["t"], x["u"], x["s"]).alias("hints")),
+    )
+    found = with_host(pages).select("id", "url", "host", F.inline(signs))
     return found.where(F.col("sure") | (F.size("hints") > 0))
 
 
@@ -223,11 +225,10 @@ def residue_pages(pages: DataFrame, queue: DataFrame | None = None) -> DataFrame
     return found.where("sure").select("id").unionByName(by_evidence(found, queue)).distinct()
 
 
-def without_residue(pages: DataFrame, queue: DataFrame | None = None) -> DataFrame:
-    """``pages`` without those of ``residue_pages``, all columns kept.
+def without_residue(rows: DataFrame, pages: DataFrame, queue: DataFrame | None = None) -> DataFrame:
+    """``rows``, which have a page's id, without those of pages with residue.
 
-    The certain cases fall to a filter. Ids flagged on evidence are written first,
-    so that their measured size decides how the anti-join runs.
+    The ids are written first, so that their measured size decides how the
+    anti-join runs; ``rows`` should be narrow, not carry texts.
     """
-    flagged = cut(by_evidence(signals(pages), queue))
-    return pages.where(~certain(F.col("title"), F.col("summary"))).join(flagged, "id", "left_anti")
+    return rows.join(cut(residue_pages(pages, queue)), "id", "left_anti")
