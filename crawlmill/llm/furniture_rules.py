@@ -1,0 +1,105 @@
+"""Labelling functions for lines of pages: they label the training pages of the block labeller.
+
+They know the usual forms of furniture in the six languages of the corpus and
+are used on the training pages only; the labeller generalises from them.
+"""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+
+# Beginnings or parts of furniture lines, in lower case without marks.
+HOME = r"(home|inicio|startseite|accueil)"
+STARTS = (
+    # bylines and dates
+    r"(por|by|von|par|di) [^.;!?]{3,60}( — |, (da redacao|staff|redaktion|redaction|redaccion|redazione)|$)",
+    r"(texto|text|words|testo|texte) ?: ",
+    r"(publicado|published|veroffentlicht|publie|pubblicato|atualizado|updated|aktualisiert) (em|el|am|le|il|on|hoje|heute)?",
+    # shares, followers, letters
+    r"(compartilhe|compartir|share this|teilen|partager|condividi)\b",
+    r"[\d.]+ (compartilhamentos|shares|mal geteilt|partages|condivisioni|veces compartido)",
+    r"(gostou|enjoyed it|hat es gefallen|.?te gusto|ti e piaciuto|(ca )?vous (avez aime|a plu)|cela vous a plu)",
+    r"(siga|seguir|follow|sigue|segui|suivez|suivre) ",
+    r"(assine|assinar|suscribete|join|iscriviti|abonnez-vous|rundbrief|receba|recibe|recevez|ricevi|get the|jede woche|ogni settimana)\b",
+    # advertisements and comments
+    r"(publicidade|publicidad|advertisement|anzeige|publicite|pubblicita)\b",
+    r"(continua (depois|dopo)|sigue despues|story continues|weiter nach|la suite apres)",
+    r"(comentarios|comments|kommentare|commenti|commentaires) ?\(?",
+    # other articles
+    r"(leia tambem|veja mais|veja tambem|relacionado|read also|see more|see also|related|lesen sie auch|mehr dazu|zum thema|passend dazu|leggi anche|vedi anche|vedi altro|sul tema|lee tambien|ver mas|lire aussi|voir aussi|voir plus|en lien|sur le meme sujet|a lire)\b ?[:»>|]",
+    r"(tags|etiquetas|etichette|schlagworter|mots-cles|topics|temas|themen) ?:",
+    r"(voltar ao topo|back to top|nach oben|volver arriba|haut de page|torna su)$",
+    # legal
+    r"(©|\(c\) |copyright)",
+)
+PARTS = (
+    r"\b(usamos|utiliz\w+|usa|usan|uses?|guardan?|stores?|verwende[nt]|nutz\w+|speichern|utilis\w+|deposent|usiamo|conservano|salvano|registrano)( \w+)? cookies?\b",
+    r"cookies?\b.*(acceit|aceit|accept|accett|acept|annehmen|ablehnen|akzept|rifiut|recus|refus|decline|\bpolicy|politica\b)",
+    r"javascript .{0,30}(coment|comment|komment)|(coment|comment|komment).{0,40}javascript",
+    r"(whatsapp|telegram)",
+    r"(todos os direitos|all rights reserved|alle rechte|todos los derechos|tutti i diritti|tous droits)",
+    r"(sem autorizacao|without written consent|mit genehmigung von|sin permiso de|senza il consenso|sans l.accord)",
+    r"(conteudo dos comentarios|comments are the sole|fur die kommentare|comentarios son responsabilidad|commentaires n.engagent|commenti impegnano)",
+    r"(registro|register|registre|reg\.) [\d./ ]+",
+    r"(im netz folgen|nas redes$|en las redes$|sur les reseaux$|sulle reti$|on social media$)",
+    r"(newsletter|por e-mail toda semana|per e-mail\. kostenlos|par courriel|per posta|por correo|en tu correo)",
+)
+BOX_HEADS = r"(mais lidas|most read|meistgelesen|lo mas leido|i piu letti|les plus lus|[^ ]{2,30} \+)$"
+MENU_WORDS = (
+    "home", "inicio", "startseite", "accueil", "forum", "foro", "entrar", "sign in", "anmelden", "accedi", "connexion",
+    "tecnologia", "technology", "technik", "technologie", "noticias", "news", "nachrichten", "notizie", "actualites",
+    "contato", "contact", "contacto", "kontakt", "contatti", "sobre nos", "about us", "uber uns", "quienes somos", "chi siamo", "a propos",
+    "assine", "subscribe", "abonnieren", "suscribete", "abbonati", "s'abonner", "cultura", "culture", "kultur",
+    "esportes", "sports", "sport", "deportes", "videos", "video", "cursos", "courses", "kurse", "corsi", "cours",
+)
+
+_START = re.compile("|".join(f"(?:{x})" for x in STARTS))
+_PART = re.compile("|".join(f"(?:{x})" for x in PARTS))
+_BOX = re.compile(BOX_HEADS)
+_CRUMB = re.compile(rf"{HOME} ?[/>»|·-] ")
+_SPLIT = re.compile(r" ?[·|/»>] ?| - |  +")
+_MENU = set(MENU_WORDS)
+_SPACE = re.compile(r"\s+")
+#: A headline as in boxes: no final stop, and a name after colon, comma, dash or bar.
+_HEADLINE = re.compile(r"^[^.!?;(]{12,120}(: |, | – | \| | - )[^.!?;(]{3,40}$")
+_LIST = re.compile(r"^(-|•|\*|\d+[.)]) ")
+
+
+def bare(text: str) -> str:
+    text = "".join(c for c in unicodedata.normalize("NFD", text.lower().replace("’", "'")) if not unicodedata.combining(c))
+    return text.strip()
+
+
+def _menu(line: str, raw: str) -> bool:
+    parts = [p.strip() for p in _SPLIT.split(raw) if p.strip()]
+    if line in _MENU:
+        return True
+    if len(parts) > 1 and sum(bare(p) in _MENU for p in parts) >= 0.6 * len(parts):
+        return True
+    words = line
+    for w in sorted(_MENU, key=len, reverse=True):
+        words = re.sub(rf"(^| ){re.escape(w)}(?= |$)", " ", words)
+    return bool(line) and len(line.split()) > 2 and not words.strip()
+
+
+def label_page(summary: str) -> list[int]:
+    """For each line 1 for furniture, 0 for the main body, -1 for a blank line."""
+    out, in_box = [], False
+    for raw in summary.split("\n"):
+        folded = bare(raw)
+        line = _SPACE.sub(" ", folded)
+        if not line:
+            out.append(-1)
+            continue
+        if _BOX.match(line):
+            in_box = True
+            out.append(1)
+        elif _START.match(line) or _PART.search(line) and len(line) < 200 or _CRUMB.match(line) or _menu(line, folded):
+            out.append(1)
+        elif in_box and _HEADLINE.match(line) and not _LIST.match(line):
+            out.append(1)
+        else:
+            in_box = False
+            out.append(0)
+    return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlmill.llm import language, residue, site_lines
+from crawlmill.llm import language, main_content, residue, site_lines
 from crawlmill.sources.tables import table
 
 
@@ -43,7 +43,26 @@ def p6_clean(spark: SparkSession, root: str) -> DataFrame:
     return site_lines.without_lines(_pages(spark, root), p6_found(spark, root))
 
 
+def p7_blocks(spark: SparkSession, root: str) -> DataFrame:
+    """Probability of every non-blank line to be furniture."""
+    pages = _pages(spark, root)
+    return main_content.label_blocks(pages, main_content.fit_labeller(pages))
+
+
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    furniture = p7_blocks(spark, root).where("furniture >= 0.5").select("id", "line_no")
+    return _sound(furniture, spark, root)
+
+
+def p7_main(spark: SparkSession, root: str) -> DataFrame:
+    """The main body of every page."""
+    return site_lines.without_lines(_pages(spark, root), p7_blocks(spark, root).where("furniture >= 0.5"), "main_text")
+
+
 QUERIES = {
+    "p7_found": p7_found,
+    "p7_blocks": p7_blocks,
+    "p7_main": p7_main,
     "p3_found": p3_found,
     "p3_languages": p3_languages,
     "p5_found": p5_found,
