@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlmill.llm import language, main_content, residue, site_lines
+from crawlmill.llm import language, main_content, neighbours, residue, site_lines
 from crawlmill.sources.tables import table
 
+PAIR_SIMILARITY = 0.85
+
 
 def _pages(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "pages")
@@ -17,6 +19,19 @@ def _sound(rows: DataFrame, spark: SparkSession, root: str) -> DataFrame:
     return residue.without_residue(rows, _pages(spark, root), table(spark, root, "crawler_queue"))
 
 
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    # neighbours below the wanted similarity need not leave the lists; 0.849 leaves room for rounding
+    settings = neighbours.KnnSettings(min_similarity=PAIR_SIMILARITY - 0.001)
+    found = neighbours.neighbours(neighbours.usable_vectors(_pages(spark, root)), settings)
+    return neighbours.similar_pairs(found, PAIR_SIMILARITY)
+
+
+def p2_search(spark: SparkSession, root: str) -> DataFrame:
+    """The ten most similar vectors of every page whose id is divisible by 20, against all pages."""
+    settings = neighbours.KnnSettings(probes=32, prune=9.0, degree=48)
+    return neighbours.neighbours(neighbours.usable_vectors(_pages(spark, root)), settings, "id % 20 = 0")
+
+
 def p3_languages(spark: SparkSession, root: str) -> DataFrame:
     """Language and confidence of every page and of every line in another language."""
     pages = _pages(spark, root)
@@ -60,6 +75,8 @@ def p7_main(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_search": p2_search,
     "p7_found": p7_found,
     "p7_blocks": p7_blocks,
     "p7_main": p7_main,
