@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from crawlmill.session import cut
+
 #: A key is hot from this many rows on, and is then cut into parts of about so many rows.
 ROWS_PER_PART = 100_000
 #: The list of hot keys that is broadcast has at most so many rows, whatever the input.
@@ -21,6 +23,7 @@ def salted_semi_join(rows: DataFrame, keys: DataFrame, on: list[str], count: str
     matching rows, so at most ``MOST_HOT_KEYS`` keys are hot and their list can be
     broadcast. Null keys match nothing. Columns and their order stay.
     """
+    keys = cut(keys.select(*on, count))  # they are read for their total, for the hot ones and for the join
     total = keys.agg(F.sum(count)).first()[0] or 0
     part = max(rows_per_part, -(-total // MOST_HOT_KEYS))
     parts = F.ceil(F.col(count) / F.lit(part)).cast("int")
