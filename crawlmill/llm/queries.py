@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlmill.llm import language, main_content, neighbours, residue, site_lines
+from crawlmill.llm import encoding, language, main_content, neighbours, packing, residue, site_lines, tokens
 from crawlmill.sources.tables import table
 
 PAIR_SIMILARITY = 0.85
@@ -74,9 +74,38 @@ def p7_main(spark: SparkSession, root: str) -> DataFrame:
     return site_lines.without_lines(_pages(spark, root), p7_blocks(spark, root).where("furniture >= 0.5"), "main_text")
 
 
+def p8_ids(spark: SparkSession, root: str) -> DataFrame:
+    return tokens.token_ids(table(spark, root, "documents"))
+
+
+def p9_containers(spark: SparkSession, root: str) -> DataFrame:
+    """Container, place and length of every piece of every document."""
+    return packing.pack(tokens.token_counts(table(spark, root, "documents")))
+
+
+def p9_fill(spark: SparkSession, root: str) -> DataFrame:
+    """Containers, tokens and unused room of the packing."""
+    return packing.fill(p9_containers(spark, root))
+
+
+def p10_restored(spark: SparkSession, root: str) -> DataFrame:
+    """Garbled documents with their text as far as it can be restored, and the chain that restores it."""
+    dictionaries = encoding.fit_dictionaries(table(spark, root, "lang_samples"))
+    return encoding.restored(table(spark, root, "documents"), dictionaries)
+
+
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    return p10_restored(spark, root).select("doc_id")
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_search": p2_search,
+    "p8_ids": p8_ids,
+    "p9_containers": p9_containers,
+    "p9_fill": p9_fill,
+    "p10_found": p10_found,
+    "p10_restored": p10_restored,
     "p7_found": p7_found,
     "p7_blocks": p7_blocks,
     "p7_main": p7_main,
