@@ -91,7 +91,7 @@ def resolve_udf(raw: pd.Series, base: pd.Series) -> pd.Series:
 
 _WORD = r"[A-Za-z0-9._-]+"
 #: Lower-case host, plain path, query of plain non-empty pairs: only an empty path is left to fill.
-PLAIN_URL = rf"^https?://[a-z0-9.-]+(/[A-Za-z0-9._~/-]*)?(\?{_WORD}={_WORD}(&{_WORD}={_WORD})*)?$"
+PLAIN_URL = rf"^https?://[a-z0-9.-]+(/[\p{{L}}0-9._~/-]*)?(\?{_WORD}={_WORD}(&{_WORD}={_WORD})*)?$"
 _TRACKED = r"(?i)[?&](utm_[^=]*|" + "|".join(map(re.escape, TRACKING_KEYS)) + ")="
 
 

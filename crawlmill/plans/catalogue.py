@@ -1,6 +1,6 @@
 """All queries outside the llm subpackage, and their SQL."""
 
-from crawlmill.plans import general
+from crawlmill.plans import general, reference
 
-QUERIES = {**general.QUERIES}
-SQL = {**general.SQL}
+QUERIES = {**general.QUERIES, **reference.QUERIES}
+SQL = {**general.SQL, **reference.SQL}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from crawlmill.functions.urls import host_of
 from crawlmill.operators.heavy_keys import heavy_keys, join_states, joined_results, key_states, rank_by_count
 from crawlmill.operators.orphans import orphan_links, orphan_report
+from crawlmill.plans.sql import canon_sql
 from crawlmill.sources.tables import table
 
 HEAVY_SHARE = 0.03
@@ -55,6 +56,17 @@ def p4_report(spark: SparkSession, root: str) -> DataFrame:
 
 _HOST = r"regexp_replace(regexp_replace(regexp_replace(lower(trim(domain)), '^.*@', ''), ':[0-9]*$', ''), '\.$', '')"
 
+_REFS = " union all ".join(
+    f"""select '{f}' as ref_field, strftime(found_at at time zone 'UTC', '%Y-%m') as found_month, source_url, target_url, {canon_sql(f)} as a
+    from page_links where found_at is not null"""
+    for f in ("source_url", "target_url")
+)
+_ORPHANS = f"""
+        with live as (select {canon_sql('url')} as a, min(strftime(created_at at time zone 'UTC', '%Y-%m')) as m from pages
+          where coalesce(status, '') <> 'deleted' and created_at is not null group by 1),
+        refs as ({_REFS}),
+        marked as (select refs.*, live.a is null as orphan from refs left join live on live.a = refs.a and live.m <= refs.found_month)"""
+
 QUERIES = {"p1_found": p1_found, "p1_host_totals": p1_host_totals, "p4_found": p4_found, "p4_report": p4_report}
 
 SQL = {
@@ -79,4 +91,7 @@ SQL = {
                cast(pn as double) * qn as pairs, cast(pn as double) * cast(a as double) as joined_queue_attempts,
                cast(rank() over (order by pn desc) as bigint) as pages_rank
         from b""",
+    "p4_found": f"{_ORPHANS} select distinct ref_field, found_month, source_url, target_url from marked where orphan",
+    "p4_report": f"""{_ORPHANS} select ref_field, found_month, count(distinct a) filter (orphan) as orphan_addresses,
+          count(*) filter (orphan) as orphan_refs, count(*) as all_refs from marked group by 1, 2""",
 }
