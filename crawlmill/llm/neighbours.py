@@ -66,11 +66,15 @@ def _vectors(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def fit_centroids(x: np.ndarray, k: int, rounds: int, seed: int = 1) -> np.ndarray:
-    """Unit centroids of unit vectors; a list is the less attractive the more it outgrows the mean size."""
+    """Unit centroids of unit vectors, of balanced lists.
+
+    A list is the less attractive the more it outgrows the mean size, and a list
+    of twice that size or more is split with the centroids of small ones.
+    """
     g = np.random.default_rng(seed)
     k = max(1, min(k, len(x)))
     c, load = x[g.choice(len(x), k, replace=False)].copy(), np.zeros(k, np.float32)
-    for _ in range(rounds):
+    for turn in range(rounds):
         best = np.concatenate([(x[i : i + 4096] @ c.T - load).argmax(1) for i in range(0, len(x), 4096)])
         size = np.bincount(best, minlength=k)
         load += 0.02 * np.log(np.maximum(size, 1) * k / len(x)).astype(np.float32)
@@ -78,6 +82,13 @@ def fit_centroids(x: np.ndarray, k: int, rounds: int, seed: int = 1) -> np.ndarr
         np.add.at(total, best, x)
         empty = size == 0
         total[empty] = x[g.choice(len(x), empty.sum())]
+        mean = len(x) / k
+        if turn < rounds - 2:
+            large = [i for i in np.argsort(-size) for _ in range(int(size[i] / mean) - 1) if size[i] > 2 * mean]
+            small = [i for i in np.argsort(size, kind="stable") if size[i] < mean / 2]
+            for big, little in zip(large, small):
+                total[little] = x[g.choice(np.flatnonzero(best == big))]
+                load[little] = load[big] = 0
         c = total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
     return c.astype(np.float32)
 
