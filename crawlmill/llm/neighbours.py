@@ -104,7 +104,8 @@ class CentroidGraph:
                 [np.argsort(-(centroids[i : i + 1024] @ centroids.T), 1)[:, :d] for i in range(0, len(centroids), 1024)]
             ).astype(np.int32)
         self.links = links  # a centroid is its own first neighbour
-        step = max(1, int(np.sqrt(len(centroids))))
+        # a walk begins at the nearest of about 2 * sqrt(n) entries, so it need not cross gaps between clusters
+        step = max(1, int(len(centroids) / (8 + 2 * np.sqrt(len(centroids)))))
         self.entries = np.arange(0, len(centroids), step)
 
     def nearest(self, x: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
