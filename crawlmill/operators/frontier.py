@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crawlmill.config import CrawlConfig
+from crawlmill.session import cut
 
 COLUMNS = ("id", "url", "domain", "priority", "depth", "status", "attempts", "needs_js", "queued_at", "last_attempt_at")
 
@@ -102,23 +102,21 @@ def upserted(queue: DataFrame, incoming: DataFrame, batch_ts: Column, guarded: b
     return numbered(merged, "id", "url", "_old").select(*COLUMNS)
 
 
-def numbered(rows: DataFrame, key: str, order: str, known: str, buckets: int = 200) -> DataFrame:
+def numbered(rows: DataFrame, key: str, order: str, known: str) -> DataFrame:
     """``rows`` with ids for those whose ``known`` is null: highest id + place in order of ``order``.
 
-    Places come from counts per range of ``order``, not from one task that sorts
-    all new rows: rows are ranged by the first letters after the scheme, ranked
-    within a range, and moved by the rows of the ranges before.
+    New rows are ranged by ``order`` over the tasks and written; a place is the
+    place within the range plus the rows of the ranges before, so no task sees
+    more than its range.
     """
     is_new = F.col(known).isNull()
-    prefix = F.when(is_new, F.substring(F.col(order), 1, 14))
-    ranged = rows.withColumn("_range", prefix)
-    counts = ranged.where(is_new).groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    # ranges are prefixes of 14 characters; their number is bounded by hosts, not by addresses
+    ranged = cut(rows.where(is_new).repartitionByRange(F.col(order)).withColumn("_range", F.spark_partition_id()))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # a row per task
+    offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     top = rows.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"))
-    within = F.row_number().over(Window.partitionBy("_range", known).orderBy(order))
-    new = ranged.where(is_new).withColumn("_within", within).join(offsets, "_range").crossJoin(F.broadcast(top))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(order))
+    new = ranged.withColumn("_within", within).join(offsets, "_range").crossJoin(F.broadcast(top))
     given = new.withColumn(key, (F.col("_top") + F.col("_before") + F.col("_within")).cast("bigint"))
     return rows.where(~is_new).unionByName(given.select(*rows.columns))
 
