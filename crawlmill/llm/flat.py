@@ -2,9 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _BREAK = "\x1e"
+#: Characters and texts that are worked on at once; a longer text is a step of its own.
+STEP_CHARS, STEP_TEXTS = 2_000_000, 1_000
+
+
+def steps(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batch`` whose texts, in column ``text``, fit a step, so memory follows the step and not the batch."""
+    start = size = 0
+    for i, length in enumerate(pc.fill_null(pc.utf8_length(batch.column(text)), 0).to_pylist()):
+        if i > start and (size + length > STEP_CHARS or i - start >= STEP_TEXTS):
+            yield batch.slice(start, i - start)
+            start, size = i, 0
+        size += length
+    if start < batch.num_rows:
+        yield batch.slice(start)
 #: White space, as code points below 0x10000.
 SPACES = np.zeros(65536, bool)
 SPACES[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = True

@@ -35,7 +35,7 @@ STARTS = (
 )
 PARTS = (
     r"\b(usamos|utiliz\w+|usa|usan|uses?|guardan?|stores?|verwende[nt]|nutz\w+|speichern|utilis\w+|deposent|usiamo|conservano|salvano|registrano)( \w+)? cookies?\b",
-    r"cookies?\b.*(acceit|aceit|accept|accett|acept|annehmen|ablehnen|akzept|rifiut|recus|refus|decline|\bpolicy|politica\b)",
+    r"cookies?\b.*(acceit|aceit|accept|accett|acept|annehmen|ablehnen|akzept|rifiut|recus|refus|decline)",
     r"javascript .{0,30}(coment|comment|komment)|(coment|comment|komment).{0,40}javascript",
     r"(whatsapp|telegram)",
     r"(todos os direitos|all rights reserved|alle rechte|todos los derechos|tutti i diritti|tous droits)",

@@ -83,7 +83,7 @@ RESPONSES = (
     r"insert the story content|insira aqui o conteúdo|inserta aquí el contenido|insérez ici le contenu|hier den inhalt des artikels|inserisci qui il contenuto",
     # filler
     r"lorem ipsum(\.|$| dolor)",
-    r"(?<unit>(?:\p{L}++ ){1,4})\k<unit>+(?:\p{L}++ ?){0,4}$",
+    r"(?<unit>(?:[\p{L}']++ ){1,4})\k<unit>+(?:[\p{L}']++ ?){0,4}$",
 )
 # A line that tells the editor what to put there.
 EDITOR_LINE = r"[^\n.]{0,24}(headline|title|título|titre|titel|titolo|überschrift|schlagzeile)[^\n.]{0,16} (goes here|vai aqui|va aquí|vient ici|va ici|ici|kommt hierhin|steht hier|hier|va qui)\b"
@@ -136,7 +136,7 @@ _RESPONSE = _bare(r"(?m)^ ?(?:" + "|".join(RESPONSES) + ")")
 _FILLER = rf"(?m)^ ?(?=[a-z ,.]+\. ?$)(?=(?:[a-z]+[ ,.]+){{3}}[a-z])(?!.*\b{_any(FUNCTION_WORDS)}\b)"
 _SCRIPT = _bare(rf"(?m)^(?!.*{FEATURE_WORDS})(?=.{{0,60}}{SCRIPT_WORDS})(?=.{{0,90}}{SWITCH_WORDS}).{{5,110}}$")
 _EDITOR = _bare(rf"(?m)^{EDITOR_LINE}")
-_MASHED = r"\b(asdf|qwerty|blabla)\b"
+_MASHED = r"(?m)\b(asdf|qwerty|blabla)\b|^ ?(?:(?:teste?|qwer|(?<key>\w)\k<key>{2,}|12345?6?|foo|bar)[ .,]*){4,}$"
 _TITLE = _bare(rf"^ ?{_any(EMPTY_TITLES)}( [-–|] [^-–|]+)? ?$")
 _HINT = _bare(_any(HINTS))
 
@@ -162,7 +162,7 @@ def _detect(title: Column, text: Column) -> Column:
         | text.rlike(_FILLER)
         | ((text.contains("script") | text.contains("skript")) & text.rlike(_SCRIPT))
         | ((said[0] | said[1] | said[2] | said[3] | said[4]) & text.rlike(_EDITOR))
-        | ((text.contains("asdf") | text.contains("qwerty") | text.contains("blabla")) & text.rlike(_MASHED))
+        | ((text.contains("asdf") | text.contains("qwer") | text.contains("blabla") | text.contains("test ")) & text.rlike(_MASHED))
     )
 
 

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from crawlmill.llm.flat import steps
+
 #: Folder of the tokenizers' files; a parameter, as they are not part of this library.
 TOKENIZERS = os.environ.get("CRAWLMILL_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -30,7 +32,6 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 LEAF = 4_096
 SPREAD = 1 << 20
 WINDOW = 32
-STEP = 500
 
 _ENCODERS: dict[int, "Encoder"] = {}
 
@@ -127,8 +128,7 @@ def _encoded(docs: DataFrame, keys: list[str], ranks, ids_only: bool = True) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(ranks.value)
         for batch in batches:
-            for i in range(0, batch.num_rows, STEP):
-                part = batch.slice(i, STEP)
+            for part in steps(batch, len(keys)):
                 texts = part.column(len(keys)).to_pylist()
                 kept = [part.column(j) for j in range(len(keys) + (not ids_only))]
                 ids = _id_lists([encoder.encode(t) if t else [] for t in texts])

@@ -78,7 +78,8 @@ RESIDUE = [
     ("{{ title }}", GOOD), ("[[CONTENT]] - Site", GOOD), ("Lorem ipsum", None), ("Error", GOOD), ("404", ""), ("t", "Hello ${user.first_name}, see how it works."),
     ("t", f"Menu\n%(name)s\n{GOOD}"), ("t", "undefined"), ("t", "You need to enable JavaScript to run this app."), ("t", "WIRD GELADEN, BITTE WARTEN…"),
     ("t", "Vestor nulla integre polor donac. Quamet erat ipsum lorem vestor."), ("t", "sample text sample text sample text"), ("t", "Acesso negado: você não tem permissão"),
-    ("t", "acesso negado: voce nao tem permissao"), ("t", "Headline goes here. Short description goes here."), ("t", "502 Bad Gateway"), ("t", "asdf test qwer asdf"),
+    ("t", "acesso negado: voce nao tem permissao"), ("t", "Headline goes here. Short description goes here."), ("t", "502 Bad Gateway"), ("t", "asdf test qwer asdf"), ("t", "test xxx 1234 aaaa test"),
+    ("t", "Texte d’exemple texte d’exemple texte d’exemple"),
 ]
 SOUND = [
     ("Title of a page", GOOD), (None, None), ("", " \n "), ("t", "In the template engine the mark {{ name }} gives way to a value, and the town hall follows it."),
