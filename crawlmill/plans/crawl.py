@@ -19,22 +19,42 @@ from crawlmill.session import cut
 from crawlmill.sources.store import SnapshotStore
 
 
+RENDERED = ("body_text", "retry_html", "retry_body_text")
+
+
 def fetched(claimed: DataFrame, rules: DataFrame, corpus: DataFrame, config: CrawlConfig = CrawlConfig(), browser: bool = False) -> DataFrame:
-    """Claimed rows with gates, page text and links; the browser knows no host rules.
+    """Claimed rows with gates, page text, links and the way the text was got.
 
-    Only the claimed rows meet the corpus, and a page is parsed once.
+    Only the claimed rows meet the corpus, and a page is parsed once. The browser
+    knows no host rules and no status gate; it falls back on the rendered text,
+    and once on a second reading of the page, columns ``RENDERED`` of the corpus.
     """
     work = records.ruled(claimed.select("id", "url", "domain", "depth"), rules, config.crawl_delay_ms)
-    got = work.join(corpus, "url", "left").withColumn("page", parse_html("html"))
-    text = rendered_summary(F.col("page"), F.lit(None).cast("string"), config) if browser else summary_of(F.col("page"), config)
+    got = work.join(corpus, "url", "left")
+    for c in RENDERED:
+        if c not in corpus.columns:
+            got = got.withColumn(c, F.lit(None).cast("string"))
+    got = got.withColumn("page", parse_html("html"))
+    page = F.col("page")
+    first = summary_of(page, config, browser)
+    if browser:
+        got = got.withColumn("again", parse_html("retry_html"))
+        described = rendered_summary(page, F.lit(None).cast("string"), config)
+        bodied = rendered_summary(page, F.col("body_text"), config)
+        second = rendered_summary(F.col("again"), F.col("retry_body_text"), config)
+        text = F.coalesce(bodied, second)
+        mode = F.when(described.isNotNull(), "html").when(bodied.isNotNull(), "body_text").when(second.isNotNull(), "scroll_retry")
+    else:
+        text, mode = first, F.when(first.isNotNull(), "html")
     open_ = F.lit(browser)
+    status = F.when(F.col("http_status").isNotNull(), 200) if browser else F.col("http_status")
     return got.select(
         F.col("id").alias("item_id"), "url", "domain", "depth",
         (F.col("blocked") & ~open_).alias("blocked"),
         (robots_blocked(F.col("robots_txt"), path_of(F.col("url"))) & ~open_).alias("robots_blocked"),
         F.when(F.col("http_status").isNull() & F.col("fetch_error").isNull(), "timeout").otherwise(F.col("fetch_error")).alias("fetch_error"),
-        "http_status", "content_type",
-        title_of(F.col("page"), browser).alias("title"), text.alias("summary"), F.col("page.links").alias("hrefs"),
+        status.alias("http_status"), (F.lit("text/html") if browser else F.col("content_type")).alias("content_type"),
+        title_of(page, browser).alias("title"), text.alias("summary"), mode.alias("extraction_mode"), F.col("page.links").alias("hrefs"),
     )
 
 

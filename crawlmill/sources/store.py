@@ -3,33 +3,41 @@
 from __future__ import annotations
 
 import json
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 class SnapshotStore:
-    """Tables under one root; readers see a whole version or the one before.
+    """Tables under one root on any file system Spark can write; readers see a whole version or the one before.
 
     A version is written to folders of its own, then the manifest that names them
-    replaces the old one in one step. A batch that fails leaves no trace in it.
+    replaces the old one by one rename. A batch that fails leaves no trace in it.
+    One writer at a time.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        os.makedirs(self.root, exist_ok=True)
+        jvm = spark._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path
+        conf = spark._jsc.hadoopConfiguration()
+        self._fs = self._path(self.root).getFileSystem(conf)
+        self._fs.mkdirs(self._path(self.root))
+        self._files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), conf)
 
     @property
-    def _manifest(self) -> str:
-        return f"{self.root}/manifest.json"
+    def _manifest(self):
+        return self._path(f"{self.root}/manifest.json")
 
     def version(self) -> dict[str, str]:
-        if not os.path.exists(self._manifest):
+        """Folder of each table of the current version."""
+        if not self._fs.exists(self._manifest):
             return {}
-        with open(self._manifest) as f:
-            return json.load(f)
+        stream = self._fs.open(self._manifest)
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.version()[name])
@@ -41,16 +49,29 @@ class SnapshotStore:
             path = f"{self.root}/{name}/{stamp}"
             df.write.parquet(path)
             new[name] = path
-        handle, draft = tempfile.mkstemp(dir=self.root)
-        with os.fdopen(handle, "w") as f:
-            json.dump(new, f, indent=1)
-        os.replace(draft, self._manifest)
+        draft = self._path(f"{self.root}/manifest-{stamp}.json")
+        stream = self._fs.create(draft)
+        stream.write(bytearray(json.dumps(new, indent=1).encode()))
+        stream.close()
+        rename = self.spark._jvm.org.apache.hadoop.fs.Options.Rename
+        how = self.spark._sc._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        self._files.rename(draft, self._manifest, how)
         return new
 
 
-def jdbc_table(spark: SparkSession, url: str, table: str, key: str | None = None, parts: int = 16, bounds: tuple[int, int] | None = None, **options: str) -> DataFrame:
+def jdbc_table(
+    spark: SparkSession,
+    url: str,
+    table: str,
+    key: str | None = None,
+    parts: int = 16,
+    bounds: tuple[int, int] | None = None,
+    **options: str,
+) -> DataFrame:
     """A table of a database, read in ``parts`` ranges of ``key`` if bounds are given; its driver must be installed."""
     reader = spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**options)
     if key and bounds:
-        reader = reader.option("partitionColumn", key).option("lowerBound", bounds[0]).option("upperBound", bounds[1]).option("numPartitions", parts)
+        low, high = bounds
+        reader = reader.options(partitionColumn=key, lowerBound=low, upperBound=high, numPartitions=parts)
     return reader.load()

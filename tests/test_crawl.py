@@ -2,11 +2,13 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from crawlmill.__main__ import main
 from crawlmill.config import CrawlConfig
+from crawlmill.functions import udtf
 from crawlmill.operators import search
 from crawlmill.plans import crawl
 from crawlmill.sources.store import SnapshotStore
-from crawlmill.streaming import crawl_stream, events
+from crawlmill.streaming import crawl_stream, events, heartbeat
 from tests_schemas import CORPUS, PAGES, QUEUE, RULES
 
 def ts():
@@ -70,6 +72,48 @@ def test_browser_takes_what_needs_scripts(spark, tmp_path):
     assert out["crawler_queue"].where("url = 'https://z.example/p'").first().status == "done"
 
 
+def test_rendered_fallbacks(spark):
+    rows = [
+        ("a", 500, None, None, page(), None, None, None, "html"),
+        ("b", 200, None, None, "<p>x", "the body text", None, None, "body_text"),
+        ("c", 200, None, None, "<p>x", None, page(), None, "scroll_retry"),
+        ("e", 200, None, None, None, None, None, None, None),
+    ]
+    corpus = spark.createDataFrame([r[:-1] for r in rows], CORPUS + ", body_text string, retry_html string, retry_body_text string")
+    claimed = spark.createDataFrame([(i, r[0], "d", 0) for i, r in enumerate(rows)], "id long, url string, domain string, depth int")
+    got = crawl.fetched(claimed, spark.createDataFrame([("d", True, None, None, None)], RULES), corpus, browser=True).orderBy("item_id").collect()
+    assert [r.extraction_mode for r in got] == [r[-1] for r in rows] and not any(r.blocked for r in got)
+
+
+def test_sql_functions(spark):
+    udtf.register(spark)
+    spark.createDataFrame([(page("/b", "/b", "#x", "http://[bad"), "https://h.example/a")], "h string, u string").createOrReplaceTempView("one_page")
+    got = spark.sql("select l.pos, l.url, canonical_url(u) as c from one_page, lateral extract_links(h, u) l").collect()
+    assert [tuple(r) for r in got] == [(0, "https://h.example/b", "https://h.example/a")]
+
+
+def test_heartbeat(spark):
+    now = [0.0]
+    beat = heartbeat.Heartbeat(5, lambda: now[0])
+    spark.streams.addListener(beat)
+    q = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 3).load().writeStream.format("noop").trigger(once=True).start()
+    q.awaitTermination(60)
+    spark.streams.removeListener(beat)
+    beat.last["other"] = -301.0
+    assert beat.stalled() == ["other"] and heartbeat.Heartbeat(0).stalled() == []
+
+
+def test_command_line(spark, tmp_path):
+    store = fresh_store(spark, tmp_path / "store")
+    site(spark).write.parquet(str(tmp_path / "corpus"))
+    spark.createDataFrame([("https://a.example/", "a.example", 9)], "url string, domain string, priority int").write.parquet(str(tmp_path / "seeds"))
+    main(["crawl", str(tmp_path / "store"), str(tmp_path / "corpus"), str(tmp_path / "seeds")], spark)
+    main(["backfill", str(tmp_path / "store")], spark)
+    assert [len(r.embedding) for r in store.read("pages").collect()] == [64]
+    main(["query", "status_histogram", "/root/testdata/sf0.001", str(tmp_path / "out")], spark)
+    assert spark.read.parquet(str(tmp_path / "out")).count() > 1
+
+
 def test_stream_of_addresses(spark, tmp_path):
     store = fresh_store(spark, tmp_path / "s")
     spark.createDataFrame([("HTTPS://A.example/b", 3, datetime(2026, 1, 1)), (None, 1, datetime(2026, 1, 1))], "url string, priority int, ts timestamp").write.parquet(str(tmp_path / "in"))
