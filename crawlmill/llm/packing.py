@@ -1,29 +1,29 @@
 """Items of varying length into containers of fixed capacity: bulk-synchronous best fit.
 
-Lengths are whole numbers up to the capacity, so items and gaps of one length
-are alike and move in bulk: a sweep goes down the range of lengths, sends each
-class of items to its successor, the class of the smallest gaps that hold it,
-and gives the first ranks of the one to the first ranks of the other. What is
-left goes to the next successor, gaps shrink, and new containers open where no
-gap is left. The state of the sweep is one count per length, however many items
-there are; items themselves are ranked within their length all over the cluster
-and look their container up by rank.
+All items and gaps act in rounds. A round scans lengths from the largest down:
+a gap opens a bracket, an item closes the last one open, which is its successor,
+the smallest free gap that holds it. Which bracket a row opens or closes follows
+from its nesting level, and levels follow from counts per length and the row's rank
+among equal lengths; so brackets are matched all over the cluster, level by
+level, and no gap is given twice. Matched gaps shrink, the rest goes to the next
+round. Containers are opened when no gap holds any item.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlmill.session import cut
 
 CAPACITY = 2_048
-#: Items of one length that are ranked in one window at most, about.
-ITEMS_PER_BUCKET = 50_000
-#: Rows of the plan that are broadcast at most (40 bytes each); beyond it the join shuffles.
+#: Rows of one length that are ranked in one window, about.
+ROWS_PER_RUN = 50_000
+#: Counts that are broadcast at most (24 bytes each); there are 2 x capacity + rows / ROWS_PER_RUN of them.
 BROADCAST_ROWS = 200_000
+GAP, ITEM = 0, 1
+OF_ITEMS = (("doc_id", "long"), ("piece", "int"), ("start", "int"))
+STATE = ("kind", "size", "container", "place", "doc_id", "piece", "start")
 
 
 def pieces(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -37,42 +37,53 @@ def pieces(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return rows.select("doc_id", "piece", start.alias("start"), F.least(F.col("tokens") - start, F.lit(capacity)).alias("length"))
 
 
-def sweep(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """(length, first rank, items, first container, place) of runs of items that go to runs of containers.
+def opened(items: DataFrame, first: int, containers: int, slots: int, width: int) -> DataFrame:
+    """Gaps of ``containers`` new containers, each cut in ``slots`` gaps of ``width``, as rows of the state."""
+    rows = items.sparkSession.range(containers * slots)
+    return rows.select(
+        F.lit(GAP).alias("kind"), F.lit(width).cast("int").alias("size"),
+        (F.floor(F.col("id") / slots) + first).alias("container"), ((F.col("id") % slots) * width).cast("int").alias("place"),
+        *[F.lit(None).cast(t).alias(c) for c, t in OF_ITEMS],
+    )
 
-    Best fit in falling order of length. A run of containers is alike: the same
-    gap, filled up to the same place.
-    """
-    runs: dict[int, list[tuple[int, int]]] = {}  # gap -> (first container, containers)
-    gaps: list[int] = []  # gaps with containers, rising
-    opened, plan = 0, []
-
-    def give(gap: int, first: int, n: int) -> None:
-        if gap and n:
-            if gap not in runs:
-                runs[gap] = []
-                insort(gaps, gap)
-            runs[gap].append((first, n))
-
-    for length in sorted(histogram, reverse=True):
-        rank, left = 0, histogram[length]
-        while left:
-            at = bisect_left(gaps, length)
-            if at == len(gaps):  # no gap holds it: open as many containers as the rest can fill
-                n = -(-left // (capacity // length))
-                give(capacity, opened, n)
-                opened += n
-                continue
-            gap = gaps[at]
-            first, n = runs[gap].pop()
-            if not runs[gap]:
-                del runs[gap], gaps[at]
-            used = min(n, left)
-            plan.append((length, rank, used, first, capacity - gap))
-            give(gap, first + used, n - used)
-            give(gap - length, first, used)
-            rank, left = rank + used, left - used
-    return plan
+
+def _runs(state: DataFrame, rows: int) -> DataFrame:
+    """The state with ``run``: equal rows in runs of about ``ROWS_PER_RUN``, so a length with a third of all rows is no one task."""
+    if rows <= ROWS_PER_RUN:
+        return state.withColumn("run", F.lit(0).cast("long"))
+    sizes = state.groupBy("size", "kind").agg(F.ceil(F.count(F.lit(1)) / F.lit(ROWS_PER_RUN)).alias("runs"))
+    own = F.xxhash64("container", "place", "doc_id", "piece")
+    # at most 2 x capacity sizes
+    return state.join(F.broadcast(sizes), ["size", "kind"]).withColumn("run", F.pmod(own, F.col("runs"))).drop("runs")
+
+
+def matched_round(state: DataFrame, rows: int, capacity: int = CAPACITY) -> DataFrame:
+    """The state with ``gap``, for matched items the (container, place, size) they take, and ``taken`` for matched gaps."""
+    key = ["size", "kind", "run"]
+    in_runs = _runs(state, rows)
+    counts = in_runs.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    scan = Window.orderBy(F.desc("size"), "kind", "run")
+    signed = F.when(F.col("kind") == GAP, F.col("n")).otherwise(-F.col("n"))
+    before = F.coalesce(F.sum(signed).over(scan.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    walk = counts.withColumn("sum", before)
+    # open brackets before a run: the sum above its lowest point so far, as closing without an open bracket does nothing
+    lowest = F.least(F.min("sum").over(scan.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0))
+    nesting = walk.select(*key, (F.col("sum") - lowest).alias("open"))
+    if 2 * capacity + rows / ROWS_PER_RUN <= BROADCAST_ROWS:
+        nesting = F.broadcast(nesting)
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy("container", "place", "doc_id", "piece")) - 1
+    ranked = in_runs.withColumn("rank", rank).join(nesting, key)
+    closes = F.when(F.col("rank") < F.col("open"), F.col("open") - 1 - F.col("rank"))
+    # items without an open bracket get levels of their own below zero
+    alone = -1 - F.pmod(F.xxhash64("doc_id", "piece"), F.lit(1 << 40))
+    level = F.when(F.col("kind") == GAP, F.col("open") + F.col("rank")).otherwise(F.coalesce(closes, alone))
+
+    # on its level an item stands right behind the gap it closes; a level has at most a row per run
+    along = Window.partitionBy("level").orderBy(F.desc("size"), "kind", "run")
+    behind = F.lag(F.struct("kind", "container", "place", "size")).over(along)
+    gap = F.when((F.col("kind") == ITEM) & (behind["kind"] == GAP), F.struct(*[behind[c].alias(c) for c in ("container", "place", "size")]))
+    taken = (F.col("kind") == GAP) & (F.lead("kind").over(along) == ITEM)
+    return ranked.withColumn("level", level).select(*STATE, gap.alias("gap"), F.coalesce(taken, F.lit(False)).alias("taken"))
 
 
 def pack(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -81,33 +92,46 @@ def pack(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     ``place`` is the first token's place in the container, ``start`` its place in
     the document. Repeated doc_ids are items of their own. No item gives no row.
     """
-    spark = counts.sparkSession
-    items = cut(pieces(counts, capacity))
-    sizes = {r["length"]: r["n"] for r in items.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # <= capacity rows
-    plan = sweep(sizes, capacity)
-    schema = "length int, first_rank long, items long, first_container long, place int"
-    table = spark.createDataFrame(plan, schema)
-
-    buckets = max(1, -(-max(sizes.values(), default=1) // ITEMS_PER_BUCKET))
-    spread = items.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
-    inner = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece")
-    ranked = spread.withColumn("within", F.row_number().over(inner) - 1)
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        spread.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
-        .select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    )
-    placed = ranked.join(offsets, ["length", "bucket"]).withColumn("rank", F.col("offset") + F.col("within"))
-    table = F.broadcast(table) if len(plan) <= BROADCAST_ROWS else table
-    inside = (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("first_rank") + F.col("items"))
-    return placed.join(table, "length").where(inside).select(
-        (F.col("first_container") + F.col("rank") - F.col("first_rank")).alias("container"),
-        "place", "length", "doc_id", "piece", "start",
+    items = pieces(counts, capacity).select(
+        F.lit(ITEM).alias("kind"), F.col("length").alias("size"), F.lit(None).cast("long").alias("container"),
+        F.lit(None).cast("int").alias("place"), "doc_id", "piece", "start",
     )
+    state, done, containers, before = cut(items), [], 0, None
+    while True:
+        is_item = F.col("kind") == ITEM
+        left = state.agg(
+            F.count(F.lit(1)).alias("rows"), F.count_if(is_item).alias("n"),
+            F.sum(F.when(is_item, F.col("size"))).alias("tokens"), F.max(F.when(is_item, F.col("size"))).alias("longest"),
+        ).first()
+        if not left.n:
+            break
+        if before in (None, left.n):
+            # no gap holds an item: as many containers as the tokens fill, in equal slots if those hold all items at once
+            new, slots, width = -(-left.tokens // capacity), 1, capacity
+            if -(-left.n // (capacity // left.longest)) <= new:
+                slots, width = capacity // left.longest, left.longest
+            state = state.unionByName(opened(state, containers, new, slots, width))
+            containers += new
+        before = left.n
+        result = cut(matched_round(state, left.rows, capacity))
+        hit = F.col("gap").isNotNull()
+        taken = F.col("gap.container").alias("container")
+        done.append(result.where(hit).select(taken, F.col("gap.place").alias("place"), F.col("size").alias("length"), "doc_id", "piece", "start"))
+        shrunk = result.where(hit & (F.col("gap.size") > F.col("size"))).select(
+            F.lit(GAP).alias("kind"), (F.col("gap.size") - F.col("size")).alias("size"), taken,
+            (F.col("gap.place") + F.col("size")).alias("place"), *[F.lit(None).cast(t).alias(c) for c, t in OF_ITEMS],
+        )
+        state = result.where(~hit & ~F.col("taken")).select(*STATE).unionByName(shrunk)
+    if not done:
+        return state.select("container", "place", F.col("size").alias("length"), "doc_id", "piece", "start")
+    out = done[0]
+    for found in done[1:]:
+        out = out.unionByName(found)
+    return out
 
 
 def fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """(containers, tokens, unused, share_used) of a packing."""
+    """(containers, tokens, unused, share_used) of a packing; the share is null where there is no container."""
     used = packed.agg(F.countDistinct("container").alias("containers"), F.coalesce(F.sum("length"), F.lit(0)).alias("tokens"))
     room = F.col("containers") * capacity
-    return used.select("containers", "tokens", (room - F.col("tokens")).alias("unused"), (F.col("tokens") / room).alias("share_used"))
+    return used.select("containers", "tokens", (room - F.col("tokens")).alias("unused"), F.try_divide("tokens", room).alias("share_used"))

@@ -242,35 +242,52 @@ def check_packing(rows, sizes, capacity):
     return len(used)
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(1, 20), max_size=60))
-def test_sweep_is_best_fit_decreasing(sizes):
-    capacity, gaps = 20, []
-    for s in sorted(sizes, reverse=True):  # item by item
-        fit = [g for g in gaps if g >= s]
-        if fit:
-            gaps.remove(min(fit))
-            gaps.append(min(fit) - s)
-        else:
-            gaps.append(capacity - s)
-    histogram = {s: sizes.count(s) for s in set(sizes)}
-    plan = packing.sweep(histogram, capacity)
-    assert len({c for _, _, n, first, _ in plan for c in range(first, first + n)}) == len(gaps)
-    assert sum(s * n for s, _, n, _, _ in plan) == sum(sizes)
-
-
-def test_packing(spark, monkeypatch):
-    monkeypatch.setattr(packing, "ITEMS_PER_BUCKET", 50)
+def rounds_by_hand(sizes, capacity):
+    """Containers of the same rounds, bracket by bracket."""
+    items, gaps, before, opened = sorted(sizes, reverse=True), [], None, 0
+    while items:
+        if before in (None, len(items)):
+            new, slots, width = -(-sum(items) // capacity), 1, capacity
+            if -(-len(items) // (capacity // items[0])) <= new:
+                slots, width = capacity // items[0], items[0]
+            gaps += [width] * (new * slots)
+            opened += new
+        before, stack, rest, shrunk = len(items), [], [], []
+        todo = sorted(gaps)
+        for s in items:
+            while todo and todo[-1] >= s:
+                stack.append(todo.pop())
+            if stack:
+                shrunk.append(stack.pop() - s)
+            else:
+                rest.append(s)
+        gaps, items = [g for g in stack + todo + shrunk if g], rest
+    return opened
+
+
+@pytest.mark.parametrize("run", [20, 50_000])
+def test_packing(spark, monkeypatch, run):
+    monkeypatch.setattr(packing, "ROWS_PER_RUN", run)
     g = random.Random(5)
-    sizes = {i: g.choice([0, 3, 3, 3, 7, 50, 64, 100, 130, 64 * 3, 1]) for i in range(600)}
+    sizes = {i: g.choice([0, 3, 3, 3, 17, 50, 64, 40, 130, 64 * 3, 21]) for i in range(200)}
     counts = spark.createDataFrame(list(sizes.items()), "doc_id long, tokens int").withColumn("length", F.lit("clash"))
     packed = packing.pack(counts, 64)
     n = check_packing(packed.collect(), sizes, 64)
-    assert n <= -(-sum(sizes.values()) // 64) * 1.1
+    parts = [64] * sum(v // 64 for v in sizes.values()) + [v % 64 for v in sizes.values() if v % 64]
+    assert n == rounds_by_hand(parts, 64) and n <= 1.1 * sum(sizes.values()) / 64
     filled = packing.fill(packed, 64).first()
     assert (filled.containers, filled.tokens, filled.unused) == (n, sum(sizes.values()), n * 64 - sum(sizes.values()))
-    assert packing.pack(counts.limit(0), 64).count() == 0
-    assert packing.pack(spark.createDataFrame([(1, None), (2, 0)], "doc_id long, tokens int")).count() == 0
+
+
+def test_packing_of_little(spark):
+    counts = spark.createDataFrame([(1, None), (2, 0)], "doc_id long, tokens int")
+    assert packing.pack(counts).count() == 0 and packing.pack(counts.limit(0)).count() == 0
+    assert packing.fill(packing.pack(counts)).first().containers == 0
+    twice = spark.createDataFrame([(1, 5), (1, 5), (None, 3)], "doc_id long, tokens int")
+    got = packing.pack(twice, 8).collect()
+    assert sorted((r.doc_id or 0, r.length) for r in got) == [(0, 3), (1, 5), (1, 5)]
+    spans = {(r.container, p) for r in got for p in range(r.place, r.place + r.length)}
+    assert len(spans) == 13
 
 
 # --- problem 10
