@@ -7,7 +7,7 @@ back to the links, or to their pre-aggregated counts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crawlmill.functions.urls import canonical
@@ -16,6 +16,12 @@ from crawlmill.operators.skew import salted_semi_join
 FIELDS = ("source_url", "target_url")
 
 
+def month_of(at: Column) -> Column:
+    """Month of a timestamp in UTC as yyyy-MM, whatever the session's zone."""
+    days = F.floor(F.unix_micros(at) / F.lit(86_400_000_000)).cast("int")
+    return F.date_format(F.date_from_unix_date(days), "yyyy-MM")
+
+
 def references(links: DataFrame) -> DataFrame:
     """One row per link and field: ref_field, found_month, address, source_url, target_url.
 
@@ -23,7 +29,7 @@ def references(links: DataFrame) -> DataFrame:
     Links without found_at, and null addresses, are left out.
     """
     both = links.where(F.col("found_at").isNotNull()).select(
-        F.date_format("found_at", "yyyy-MM").alias("found_month"),
+        month_of(F.col("found_at")).alias("found_month"),
         *FIELDS,
         *[F.coalesce(canonical(F.col(f)), F.col(f)).alias(f"_{f}") for f in FIELDS],
     )
@@ -39,7 +45,7 @@ def live_since(pages: DataFrame) -> DataFrame:
             & F.col("url").isNotNull()
             & F.col("created_at").isNotNull()
         )
-        .select(F.coalesce(canonical(F.col("url")), F.col("url")).alias("address"), F.date_format("created_at", "yyyy-MM").alias("m"))
+        .select(F.coalesce(canonical(F.col("url")), F.col("url")).alias("address"), month_of(F.col("created_at")).alias("m"))
         .groupBy("address")
         .agg(F.min("m").alias("first_month"))
     )

@@ -30,13 +30,24 @@ def local_session(cores: str | int = "*", partitions: int = 8, app: str = "crawl
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``; a local one only where that is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
+    given = spark.sparkContext.getCheckpointDir()  # a folder of this application's own within the one named
+    if given or named:
+        return (given or named).rstrip("/")
     own = tempfile.mkdtemp(prefix="crawlmill-checkpoint-")
     spark.conf.set("spark.checkpoint.dir", f"file://{own}")
     return f"file://{own}"
 
 
+_CUTS: list[str] = []
+
+
+def drop_cuts(spark: SparkSession) -> None:
+    """Deletes the tables ``cut`` has written; for long sessions, once the results that need them are stored."""
+    while _CUTS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_CUTS.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read again.
 
@@ -46,4 +57,5 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/crawlmill-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _CUTS.append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -7,11 +7,12 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 import pytest  # noqa: E402
 
-from crawlmill.session import local_session  # noqa: E402
+from crawlmill.session import drop_cuts, local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
     session = local_session(4, partitions=4, app="tests")
     yield session
+    drop_cuts(session)
     session.stop()

@@ -74,6 +74,15 @@ def test_orphans_against_brute_force(spark):
     assert {k: r.all_refs for k, r in report.items()} == dict(refs)
 
 
+def test_months_are_utc(spark):
+    rows = spark.sql("select timestamp '2025-01-31 23:59:59.999999Z' as a, timestamp '2025-02-01 00:00:00Z' as b, timestamp '1969-12-31 23:00:00Z' as c")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    for tz in ("UTC", "America/Sao_Paulo", "Asia/Tokyo"):
+        spark.conf.set("spark.sql.session.timeZone", tz)
+        assert tuple(rows.select(*[orphans.month_of(F.col(c)) for c in "abc"]).first()) == ("2025-01", "2025-02", "1969-12")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_salted_semi_join(spark):
     rows = spark.range(1000).select(F.when(F.col("id") < 600, "hot").when(F.col("id") < 990, "warm").alias("k"), F.col("id").alias("n"))
     keys = spark.createDataFrame([("hot", 600), ("cold", 5)], "k string, c long")
