@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from crawlmill.llm import encoding, language, main_content, neighbours, packing, residue, site_lines, tokens
 from crawlmill.sources.tables import table
@@ -116,6 +115,13 @@ QUERIES = {
     "p6_clean": p6_clean,
 }
 
-_DIGITS = "regexp_replace({}, '[0-9]+', '0', 'g')"
-_BLANK = r"[\t\r\f\v\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000} ]+"
-SQL: dict[str, str] = {}
+#: Exact neighbours by comparing all pairs; for the small tables of the SQL check only.
+SQL: dict[str, str] = {
+    "p2_found": """
+        with v as (select id, list_transform(embedding, lambda x: x::double) as e from pages
+          where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+            and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        p as (select a.id as i, b.id as j, list_cosine_similarity(a.e, b.e) as s from v a join v b on a.id <> b.id),
+        r as (select *, row_number() over (partition by i order by s desc, j) as k from p)
+        select distinct least(i, j) as id_a, greatest(i, j) as id_b from r where k <= 10 and s >= 0.85""",
+}
