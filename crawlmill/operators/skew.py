@@ -31,9 +31,9 @@ def salted_semi_join(rows: DataFrame, keys: DataFrame, on: list[str], count: str
     if total <= part:  # no key can be hot
         return rows.join(sized.select(*on), on, "left_semi").select(*rows.columns)
     hot = F.broadcast(sized.where("_parts > 1"))
-    salted = rows.join(hot, on, "left").withColumn(
-        "_salt", F.when(F.col("_parts").isNull(), 0).otherwise(F.floor(F.rand(17) * F.col("_parts"))).cast("int")
-    )
+    # by the row's hash, not at random: a task that runs again must deal its rows in the same way
+    dealt = F.pmod(F.xxhash64(*rows.columns), F.col("_parts"))
+    salted = rows.join(hot, on, "left").withColumn("_salt", F.coalesce(dealt, F.lit(0)).cast("int"))
     spread = sized.select(*on, F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_salt"))
     return salted.join(spread, [*on, "_salt"], "left_semi").select(*rows.columns)
 
