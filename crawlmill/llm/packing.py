@@ -1,17 +1,18 @@
 """Items of varying length into containers of fixed capacity: bulk-synchronous best fit.
 
-All items and gaps act in rounds. A round scans lengths from the largest down:
-a gap opens a bracket, an item closes the last one open, which is its successor,
-the smallest free gap that holds it. Which bracket a row opens or closes follows
-from its nesting level, and levels follow from counts per length and the row's rank
-among equal lengths; so brackets are matched all over the cluster, level by
-level, and no gap is given twice. Matched gaps shrink, the rest goes to the next
-round. Containers are opened when no gap holds any item.
+All items and containers act in rounds. A container offers its room as gaps, as
+many as hold the longest item left and at least one. A round scans lengths from the
+largest down: a gap opens a bracket, an item closes the last one open, which is
+its successor, the smallest free gap that holds it. Which bracket a row opens or
+closes follows from its nesting level, and levels follow from counts per length
+and the row's rank among equal lengths; so brackets are matched all over the
+cluster, level by level, and no gap is given twice. Rooms shrink, what was not placed
+goes to the next round, and containers are opened when no gap holds any item.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlmill.session import cut
@@ -22,8 +23,7 @@ ROWS_PER_RUN = 50_000
 #: Counts that are broadcast at most (24 bytes each); there are 2 x capacity + rows / ROWS_PER_RUN of them.
 BROADCAST_ROWS = 200_000
 GAP, ITEM = 0, 1
-OF_ITEMS = (("doc_id", "long"), ("piece", "int"), ("start", "int"))
-STATE = ("kind", "size", "container", "place", "doc_id", "piece", "start")
+ITEM_KEY = ("doc_id", "piece", "start")
 
 
 def pieces(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -37,30 +37,33 @@ def pieces(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return rows.select("doc_id", "piece", start.alias("start"), F.least(F.col("tokens") - start, F.lit(capacity)).alias("length"))
 
 
-def opened(items: DataFrame, first: int, containers: int, slots: int, width: int) -> DataFrame:
-    """Gaps of ``containers`` new containers, each cut in ``slots`` gaps of ``width``, as rows of the state."""
-    rows = items.sparkSession.range(containers * slots)
-    return rows.select(
-        F.lit(GAP).alias("kind"), F.lit(width).cast("int").alias("size"),
-        (F.floor(F.col("id") / slots) + first).alias("container"), ((F.col("id") % slots) * width).cast("int").alias("place"),
-        *[F.lit(None).cast(t).alias(c) for c, t in OF_ITEMS],
-    )
+def gaps(rooms: DataFrame, longest: int) -> DataFrame:
+    """Rows of a round for (container, room): gaps of ``longest`` tokens and a last one of what remains."""
+    n = F.greatest(F.lit(1), F.floor(F.col("room") / longest).cast("int"))
+    slots = rooms.where("room > 0").withColumn("n", n).select("container", "room", "n", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("slot"))
+    width = F.when(F.col("slot") < F.col("n"), F.lit(longest)).otherwise(F.col("room") - (F.col("n") - 1) * longest)
+    return slots.select(F.lit(GAP).alias("kind"), width.cast("int").alias("size"), "container", "slot", *[F.lit(None).cast(t).alias(c) for c, t in zip(ITEM_KEY, ("long", "int", "int"))])
 
 
-def _runs(state: DataFrame, rows: int) -> DataFrame:
-    """The state with ``run``: equal rows in runs of about ``ROWS_PER_RUN``, so a length with a third of all rows is no one task."""
-    if rows <= ROWS_PER_RUN:
-        return state.withColumn("run", F.lit(0).cast("long"))
-    sizes = state.groupBy("size", "kind").agg(F.ceil(F.count(F.lit(1)) / F.lit(ROWS_PER_RUN)).alias("runs"))
-    own = F.xxhash64("container", "place", "doc_id", "piece")
+def _as_rows(items: DataFrame) -> DataFrame:
+    none = [F.lit(None).cast("long").alias("container"), F.lit(None).cast("int").alias("slot")]
+    return items.select(F.lit(ITEM).alias("kind"), F.col("length").alias("size"), *none, *ITEM_KEY)
+
+
+def _in_runs(rows: DataFrame, n: int) -> DataFrame:
+    """``rows`` with ``run``: equal rows in runs of about ``ROWS_PER_RUN``, so a length with a third of all rows is no one task."""
+    if n <= ROWS_PER_RUN:
+        return rows.withColumn("run", F.lit(0).cast("long"))
+    sizes = rows.groupBy("size", "kind").agg(F.ceil(F.count(F.lit(1)) / F.lit(ROWS_PER_RUN)).alias("runs"))
+    own = F.xxhash64("container", "slot", "doc_id", "piece")
     # at most 2 x capacity sizes
-    return state.join(F.broadcast(sizes), ["size", "kind"]).withColumn("run", F.pmod(own, F.col("runs"))).drop("runs")
+    return rows.join(F.broadcast(sizes), ["size", "kind"]).withColumn("run", F.pmod(own, F.col("runs"))).drop("runs")
 
 
-def matched_round(state: DataFrame, rows: int, capacity: int = CAPACITY) -> DataFrame:
-    """The state with ``gap``, for matched items the (container, place, size) they take, and ``taken`` for matched gaps."""
+def matched(rows: DataFrame, n: int, capacity: int = CAPACITY) -> DataFrame:
+    """The rows of a round with ``given``, the container an item gets, and ``used``, the tokens an item takes of a gap."""
     key = ["size", "kind", "run"]
-    in_runs = _runs(state, rows)
+    in_runs = _in_runs(rows, n)
     counts = in_runs.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
     scan = Window.orderBy(F.desc("size"), "kind", "run")
     signed = F.when(F.col("kind") == GAP, F.col("n")).otherwise(-F.col("n"))
@@ -69,9 +72,9 @@ def matched_round(state: DataFrame, rows: int, capacity: int = CAPACITY) -> Data
     # open brackets before a run: the sum above its lowest point so far, as closing without an open bracket does nothing
     lowest = F.least(F.min("sum").over(scan.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0))
     nesting = walk.select(*key, (F.col("sum") - lowest).alias("open"))
-    if 2 * capacity + rows / ROWS_PER_RUN <= BROADCAST_ROWS:
+    if 2 * capacity + n / ROWS_PER_RUN <= BROADCAST_ROWS:
         nesting = F.broadcast(nesting)
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy("container", "place", "doc_id", "piece")) - 1
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy("container", "slot", "doc_id", "piece")) - 1
     ranked = in_runs.withColumn("rank", rank).join(nesting, key)
     closes = F.when(F.col("rank") < F.col("open"), F.col("open") - 1 - F.col("rank"))
     # items without an open bracket get levels of their own below zero
@@ -80,10 +83,14 @@ def matched_round(state: DataFrame, rows: int, capacity: int = CAPACITY) -> Data
 
     # on its level an item stands right behind the gap it closes; a level has at most a row per run
     along = Window.partitionBy("level").orderBy(F.desc("size"), "kind", "run")
-    behind = F.lag(F.struct("kind", "container", "place", "size")).over(along)
-    gap = F.when((F.col("kind") == ITEM) & (behind["kind"] == GAP), F.struct(*[behind[c].alias(c) for c in ("container", "place", "size")]))
-    taken = (F.col("kind") == GAP) & (F.lead("kind").over(along) == ITEM)
-    return ranked.withColumn("level", level).select(*STATE, gap.alias("gap"), F.coalesce(taken, F.lit(False)).alias("taken"))
+
+    def beside(neighbour: Column, own: int, other: int, field: str) -> Column:
+        return F.when((F.col("kind") == own) & (neighbour["kind"] == other), neighbour[field])
+
+    pair = F.struct("kind", "container", "size")
+    given = beside(F.lag(pair).over(along), ITEM, GAP, "container")
+    used = beside(F.lead(pair).over(along), GAP, ITEM, "size")
+    return ranked.withColumn("level", level).select(*rows.columns, given.alias("given"), used.alias("used"))
 
 
 def pack(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -91,43 +98,39 @@ def pack(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     ``place`` is the first token's place in the container, ``start`` its place in
     the document. Repeated doc_ids are items of their own. No item gives no row.
+    A gap of a container is filled with one item a round, so the number of rounds
+    follows the spread of lengths; it does not grow with the number of items.
     """
-    items = pieces(counts, capacity).select(
-        F.lit(ITEM).alias("kind"), F.col("length").alias("size"), F.lit(None).cast("long").alias("container"),
-        F.lit(None).cast("int").alias("place"), "doc_id", "piece", "start",
-    )
-    state, done, containers, before = cut(items), [], 0, None
+    spark = counts.sparkSession
+    items = cut(pieces(counts, capacity))
+    rooms = spark.range(0).select(F.col("id").alias("container"), F.lit(0).alias("room"))
+    done, opened, before = [], 0, None
     while True:
-        is_item = F.col("kind") == ITEM
-        left = state.agg(
-            F.count(F.lit(1)).alias("rows"), F.count_if(is_item).alias("n"),
-            F.sum(F.when(is_item, F.col("size"))).alias("tokens"), F.max(F.when(is_item, F.col("size"))).alias("longest"),
-        ).first()
+        left = items.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("tokens"), F.max("length").alias("longest")).first()
         if not left.n:
             break
-        if before in (None, left.n):
-            # no gap holds an item: as many containers as the tokens fill, in equal slots if those hold all items at once
-            new, slots, width = -(-left.tokens // capacity), 1, capacity
-            if -(-left.n // (capacity // left.longest)) <= new:
-                slots, width = capacity // left.longest, left.longest
-            state = state.unionByName(opened(state, containers, new, slots, width))
-            containers += new
+        if before in (None, left.n):  # no gap holds an item: as many containers as the tokens fill
+            new = -(-left.tokens // capacity)
+            fresh = spark.range(opened, opened + new).select(F.col("id").alias("container"), F.lit(capacity).alias("room"))
+            rooms, opened = rooms.unionByName(fresh), opened + new
         before = left.n
-        result = cut(matched_round(state, left.rows, capacity))
-        hit = F.col("gap").isNotNull()
-        taken = F.col("gap.container").alias("container")
-        done.append(result.where(hit).select(taken, F.col("gap.place").alias("place"), F.col("size").alias("length"), "doc_id", "piece", "start"))
-        shrunk = result.where(hit & (F.col("gap.size") > F.col("size"))).select(
-            F.lit(GAP).alias("kind"), (F.col("gap.size") - F.col("size")).alias("size"), taken,
-            (F.col("gap.place") + F.col("size")).alias("place"), *[F.lit(None).cast(t).alias(c) for c, t in OF_ITEMS],
-        )
-        state = result.where(~hit & ~F.col("taken")).select(*STATE).unionByName(shrunk)
+        rows = _as_rows(items).unionByName(gaps(rooms, left.longest))
+        most = left.n + opened * (capacity // left.longest)
+        result = cut(matched(rows, most, capacity))
+        item = F.col("kind") == ITEM
+        done.append(result.where(item & F.col("given").isNotNull()).select(F.col("given").alias("container"), F.col("size").alias("length"), *ITEM_KEY))
+        items = result.where(item & F.col("given").isNull()).select(*ITEM_KEY, F.col("size").alias("length"))
+        free = F.col("size") - F.coalesce("used", F.lit(0))
+        rooms = result.where(~item).groupBy("container").agg(F.sum(free).cast("int").alias("room"))
     if not done:
-        return state.select("container", "place", F.col("size").alias("length"), "doc_id", "piece", "start")
+        return items.select(F.lit(0).cast("long").alias("container"), F.lit(0).cast("long").alias("place"), "length", *ITEM_KEY)
     out = done[0]
-    for found in done[1:]:
-        out = out.unionByName(found)
-    return out
+    for more in done[1:]:
+        out = out.unionByName(more)
+    # a container has at most ``capacity`` pieces
+    inside = Window.partitionBy("container").orderBy(F.desc("length"), *ITEM_KEY).rowsBetween(Window.unboundedPreceding, -1)
+    place = F.coalesce(F.sum("length").over(inside), F.lit(0)).alias("place")
+    return out.select("container", place, "length", *ITEM_KEY)
 
 
 def fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -244,25 +244,24 @@ def check_packing(rows, sizes, capacity):
 
 def rounds_by_hand(sizes, capacity):
     """Containers of the same rounds, bracket by bracket."""
-    items, gaps, before, opened = sorted(sizes, reverse=True), [], None, 0
+    items, rooms, before = sorted(sizes, reverse=True), [], None
     while items:
         if before in (None, len(items)):
-            new, slots, width = -(-sum(items) // capacity), 1, capacity
-            if -(-len(items) // (capacity // items[0])) <= new:
-                slots, width = capacity // items[0], items[0]
-            gaps += [width] * (new * slots)
-            opened += new
-        before, stack, rest, shrunk = len(items), [], [], []
-        todo = sorted(gaps)
+            rooms += [capacity] * -(-sum(items) // capacity)
+        before, stack, rest, todo, longest = len(items), [], [], [], items[0]
+        for c, room in enumerate(rooms):
+            n = max(1, room // longest)
+            todo += [(longest, c)] * (n - 1) + [(room - (n - 1) * longest, c)] * (room > 0)
+        todo.sort()
         for s in items:
-            while todo and todo[-1] >= s:
+            while todo and todo[-1][0] >= s:
                 stack.append(todo.pop())
             if stack:
-                shrunk.append(stack.pop() - s)
+                rooms[stack.pop()[1]] -= s
             else:
                 rest.append(s)
-        gaps, items = [g for g in stack + todo + shrunk if g], rest
-    return opened
+        items = rest
+    return len(rooms)
 
 
 @pytest.mark.parametrize("run", [20, 50_000])
