@@ -83,23 +83,29 @@ def _menu(line: str, raw: str) -> bool:
     return bool(line) and len(line.split()) > 2 and not words.strip()
 
 
+#: Headlines in a row after the head of a box, from which on they are its links; a single one heads the text.
+LEAST_IN_BOX = 2
+
+
 def label_page(summary: str) -> list[int]:
     """For each line 1 for furniture, 0 for the main body, -1 for a blank line."""
-    out, in_box = [], False
-    for raw in summary.split("\n"):
-        folded = bare(raw)
-        line = _SPACE.sub(" ", folded)
-        if not line:
-            out.append(-1)
-            continue
+    folded = [bare(raw) for raw in summary.split("\n")]
+    lines = [_SPACE.sub(" ", x) for x in folded]
+    solid = [i for i, x in enumerate(lines) if x]
+    out = [-1] * len(lines)
+    boxed: set[int] = set()
+    for at, i in enumerate(solid):
+        line = lines[i]
+        known = _START.match(line) or (_PART.search(line) and len(line) < 200) or _CRUMB.match(line) or _menu(line, folded[i])
         if _BOX.match(line):
-            in_box = True
-            out.append(1)
-        elif _START.match(line) or _PART.search(line) and len(line) < 200 or _CRUMB.match(line) or _menu(line, folded):
-            out.append(1)
-        elif in_box and _HEADLINE.match(line) and not _LIST.match(line):
-            out.append(1)
+            run = []
+            for j in solid[at + 1 :]:
+                if not _HEADLINE.match(lines[j]) or _LIST.match(lines[j]) or _START.match(lines[j]):
+                    break
+                run.append(j)
+            if len(run) >= LEAST_IN_BOX:
+                boxed.update(run)
+            out[i] = 1
         else:
-            in_box = False
-            out.append(0)
+            out[i] = int(bool(known) or i in boxed)
     return out

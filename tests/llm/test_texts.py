@@ -143,8 +143,9 @@ def test_lines_removed(spark):
 
 
 def test_furniture_rules():
-    page = "Home / News / Vola\nBy Ada Lima, Site staff\nThe university follows the water: Siva luta\nA long sentence of the article itself.\n- a list item (Moba)\nMost read\nThe town hall reviews the votes: Nera tico\n\n© 2024 Site. All rights reserved."
-    assert furniture_rules.label_page(page) == [1, 1, 0, 0, 0, 1, 1, -1, 1]
+    page = "Home / News / Vola\nBy Ada Lima, Site staff\nThe university follows the water: Siva luta\nA long sentence of the article itself.\n- a list item (Moba)\nMost read\nThe town hall reviews the votes: Nera tico\n\nThe river follows the map, Sova lira\n© 2024 Site. All rights reserved."
+    assert furniture_rules.label_page(page) == [1, 1, 0, 0, 0, 1, 1, -1, 1, 1]
+    assert furniture_rules.label_page("Most read\nThe town hall reviews the votes: Nera tico\nA sentence of the text.") == [1, 0, 0]
 
 
 def test_labeller_on_held_out_pages(spark):
