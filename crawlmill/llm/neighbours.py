@@ -11,7 +11,7 @@ together; a list larger than a block is searched in several blocks.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +20,17 @@ from pyspark.sql import functions as F
 
 from crawlmill.session import cut
 
+#: Rows that one step of the posting gives at most, so memory follows the step and not the lists searched.
+ROWS_OUT = 200_000
+
 
 @dataclass(frozen=True)
 class KnnSettings:
-    """``sample`` vectors at most fit at most ``most_lists`` centroids (16,384 x 64 floats are 4 MB)."""
+    """``sample`` vectors at most fit at most ``most_lists`` centroids (16,384 x 64 floats are 4 MB).
+
+    With a ``recall``, ``probes`` is only the least number of lists: as many are
+    searched as ``probes_for`` finds to be needed for it.
+    """
 
     dim: int = 64
     k: int = 10
@@ -38,6 +45,7 @@ class KnnSettings:
     prune: float = 1.2
     block: int = 4_096
     min_similarity: float = -1.0
+    recall: float = 0.0
 
 
 def usable_vectors(pages: DataFrame, dim: int = 64) -> DataFrame:
@@ -109,14 +117,27 @@ class CentroidGraph:
         self.entries = np.arange(0, len(centroids), step)
 
     def nearest(self, x: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
-        """(lists, similarities) of up to ``probes`` nearest centroids found from the entry points, best first."""
+        """(lists, similarities) of up to ``probes`` nearest centroids found from the entry points, best first.
+
+        A walk ends with the neighbours of three centroids at most; where more
+        lists than one centroid's neighbours are wanted, all centroids are compared.
+        """
         ids, sims = [], []
+        find = self._walk if probes <= self.links.shape[1] else self._all
         for i in range(0, len(x), 512):
-            a, b = self._walk(x[i : i + 512], probes)
+            a, b = find(x[i : i + 512], probes)
             ids.append(a)
             sims.append(b)
         return np.concatenate(ids), np.concatenate(sims)
 
+    def _all(self, x: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
+        sims = x @ self.c.T
+        k = min(probes, len(self.c))
+        near = np.argpartition(-sims, k - 1, 1)[:, :k]
+        order = np.argsort(-np.take_along_axis(sims, near, 1), 1, kind="stable")
+        near = np.take_along_axis(near, order, 1)
+        return near, np.take_along_axis(sims, near, 1).astype(np.float32)
+
     def _walk(self, x: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
         rows = np.arange(len(x))[:, None]
         start = x @ self.c[self.entries].T
@@ -142,43 +163,87 @@ class CentroidGraph:
         return near[:, :probes], sims[:, :probes].astype(np.float32)
 
 
-def fit_graph(vectors: DataFrame, s: KnnSettings, rows: int) -> CentroidGraph:
-    """Centroids of a random sample of at most ``s.sample`` vectors, one per ``s.list_size`` rows."""
-    drawn = vectors.select("vec").sample(min(1.0, 1.05 * s.sample / max(1, rows)), 9).limit(s.sample).collect()
+def fit_graph(vectors: DataFrame, s: KnnSettings, rows: int) -> tuple[CentroidGraph, KnnSettings]:
+    """Centroids of a random sample of at most ``s.sample`` vectors, one per ``s.list_size`` rows, and ``s`` with the probes to use.
+
+    For a ``recall`` as many vectors again are drawn, which the centroids do not know.
+    """
+    wanted = s.sample * (2 if s.recall else 1)
+    drawn = vectors.select("vec").sample(min(1.0, 1.05 * wanted / max(1, rows)), 9).limit(wanted).collect()
     x = np.frombuffer(b"".join(r[0] for r in drawn), np.float32).reshape(-1, s.dim)
-    lists = min(s.most_lists, max(1, -(-rows // s.list_size)), max(1, len(x) // 4))
-    return CentroidGraph(fit_centroids(x, lists, s.rounds), s.degree)
+    if s.recall:
+        x = x[np.random.default_rng(2).permutation(len(x))]
+    fitted = x[: s.sample]
+    lists = min(s.most_lists, max(1, -(-rows // s.list_size)), max(1, len(fitted) // 4))
+    graph = CentroidGraph(fit_centroids(fitted, lists, s.rounds), s.degree)
+    if s.recall:
+        # with less than half as many unknown vectors the lists are long, and known ones tell as much
+        s = replace(s, probes=max(s.probes, probes_for(graph, x[s.sample :] if len(x) >= 1.5 * s.sample else x, s)))
+    return graph, s
+
+
+def probes_for(graph: CentroidGraph, x: np.ndarray, s: KnnSettings, queries: int = 512) -> int:
+    """Lists to search so that ``s.recall`` of the ``s.k`` most similar of ``x`` are found, for ``queries`` of them.
+
+    Neighbours in a sample are farther away than those in all rows, so the
+    number is rather too large than too small.
+    """
+    step = max(1, len(x) // queries)
+    at = np.arange(0, len(x), step)
+    k, every = min(s.k, len(x) - 1), len(graph.c)
+    if k < 1:
+        return 1
+    needed = []
+    for i in range(0, len(at), 64):
+        own = at[i : i + 64]
+        sims = x[own] @ x.T
+        sims[np.arange(len(own)), own] = -2
+        near = np.argpartition(-sims, k - 1, 1)[:, :k]
+        place = np.empty((len(own), every), np.int64)
+        np.put_along_axis(place, np.argsort(-(x[own] @ graph.c.T), 1, kind="stable"), np.arange(every)[None], 1)
+        lists, close = graph.nearest(x[near.ravel()], s.replicas)
+        far = np.sqrt(np.maximum(2 - 2 * close, 0))
+        stored = (close > -1.5) & (far <= s.closure * (far[:, :1] + 1e-6))
+        rank = np.where(stored, place[np.repeat(np.arange(len(own)), k)[:, None], lists], every)
+        needed.append(rank.min(1))
+    return int(np.quantile(np.concatenate(needed), s.recall, method="higher")) + 1
 
 
 def _postings(vectors: DataFrame, graph: CentroidGraph, s: KnnSettings) -> DataFrame:
     """(list, id, vec, member, query): one row for each list a vector is stored in or looked up in."""
     shared = vectors.sparkSession.sparkContext.broadcast((graph.c, graph.links))
 
+    def posted(own: CentroidGraph, batch: pa.RecordBatch, rows: np.ndarray, probes: int) -> pa.RecordBatch:
+        x = _vectors(batch.column(1).take(pa.array(rows)), s.dim)
+        lists, sims = own.nearest(x, max(probes, s.replicas))
+        far = np.sqrt(np.maximum(2 - 2 * sims, 0))
+        rank = np.arange(lists.shape[1])
+        near = far[:, :1] + 1e-6
+        real = sims > -1.5
+        member = real & (far <= s.closure * near) & (rank < s.replicas)
+        query = real & (far <= s.prune * near) & (rank < probes)
+        row, col = np.nonzero(member | query)
+        at = pa.array(rows[row])
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(lists[row, col], pa.int32()),
+                batch.column(0).take(at),
+                batch.column(1).take(at),
+                pa.array(member[row, col]),
+                pa.array(query[row, col]),
+            ],
+            ["list", "id", "vec", "member", "query"],
+        )
+
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, links = shared.value
         own = CentroidGraph(c, s.degree, links)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _vectors(batch.column(1), s.dim)
-            lists, sims = own.nearest(x, max(s.probes, s.replicas))
-            far = np.sqrt(np.maximum(2 - 2 * sims, 0))
-            rank = np.arange(lists.shape[1])
-            near = far[:, :1] + 1e-6
-            real = sims > -1.5
-            member = real & (far <= s.closure * near) & (rank < s.replicas)
-            query = real & (far <= s.prune * near) & (rank < s.probes) & batch.column(2).to_numpy(zero_copy_only=False)[:, None]
-            row, col = np.nonzero(member | query)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(lists[row, col], pa.int32()),
-                    batch.column(0).take(pa.array(row)),
-                    batch.column(1).take(pa.array(row)),
-                    pa.array(member[row, col]),
-                    pa.array(query[row, col]),
-                ],
-                ["list", "id", "vec", "member", "query"],
-            )
+            asks = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            for which, probes in ((~asks, 0), (asks, s.probes)):
+                rows, step = np.flatnonzero(which), max(1, ROWS_OUT // max(probes, s.replicas))
+                for i in range(0, len(rows), step):
+                    yield posted(own, batch, rows[i : i + step], probes)
 
     return vectors.select("id", "vec", "query").mapInArrow(spread, "list int, id long, vec binary, member boolean, query boolean")
 
@@ -219,7 +284,7 @@ def neighbours(vectors: DataFrame, s: KnnSettings = KnnSettings(), queries: str
     rows = vectors.count()
     if not rows:
         return vectors.select("id", F.col("id").alias("other"), F.lit(0).cast("float").alias("similarity")).limit(0)
-    graph = fit_graph(vectors, s, rows)
+    graph, s = fit_graph(vectors, s, rows)
 
     # copies: of each vector the k + 1 lowest ids, found in salted parts first
     keyed = vectors.select("id", F.xxhash64("vec").alias("k1"), F.xxhash64(F.lit(1), "vec").alias("k2"))

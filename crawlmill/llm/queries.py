@@ -8,6 +8,8 @@ from crawlmill.llm import encoding, language, main_content, neighbours, packing,
 from crawlmill.sources.tables import table
 
 PAIR_SIMILARITY = 0.85
+#: As many lists are searched as find this share of the ten most similar; none is pruned.
+SEARCH = neighbours.KnnSettings(probes=32, prune=9.0, degree=48, recall=0.99)
 
 
 def _pages(spark: SparkSession, root: str) -> DataFrame:
@@ -27,8 +29,7 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
 
 def p2_search(spark: SparkSession, root: str) -> DataFrame:
     """The ten most similar vectors of every page whose id is divisible by 20, against all pages."""
-    settings = neighbours.KnnSettings(probes=32, prune=9.0, degree=48)
-    return neighbours.neighbours(neighbours.usable_vectors(_pages(spark, root)), settings, "id % 20 = 0")
+    return neighbours.neighbours(neighbours.usable_vectors(_pages(spark, root)), SEARCH, "id % 20 = 0")
 
 
 def p3_languages(spark: SparkSession, root: str) -> DataFrame:

@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -73,6 +75,20 @@ def test_search_of_a_twentieth(spark):
     assert np.mean([len(got[i] & set(want[i])) / 10 for i in got.index]) > 0.9
 
 
+def test_search_follows_the_number_of_lists(spark):
+    g = np.random.default_rng(9)
+    x = g.normal(size=(8000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], SCHEMA)
+    settings = replace(queries.SEARCH, list_size=32)  # 250 lists
+    found = nn.neighbours(nn.usable_vectors(docs), settings, "id % 20 = 0").toPandas()
+    got = found.groupby("id").other.apply(set)
+    own = x[::20] @ x.T
+    own[np.arange(400), np.arange(0, 8000, 20)] = -2
+    want = np.argsort(-own, 1)[:, :10].tolist()
+    assert len(got) == 400 and np.mean([len(got[20 * i] & set(w)) / 10 for i, w in enumerate(want)]) > 0.975
+
+
 def test_balanced_centroids():
     g = np.random.default_rng(3)
     x = np.concatenate([g.normal(size=(900, 8)) * 0.05 + 1, g.normal(size=(100, 8))]).astype(np.float32)
