@@ -65,6 +65,16 @@ def test_languages_of_pages_and_lines(spark, profiles):
     assert language.label_languages(pages_of(spark, rows).limit(0), profiles).count() == 0
 
 
+def test_title_decides_where_the_summary_has_no_letters(spark, profiles):
+    rows = [(1, "h", SENTENCES["pt"], None), (2, "h", SENTENCES["de"], " \n "), (3, "h", SENTENCES["en"], "123"), (4, "h", None, None), (5, "h", SENTENCES["en"], SENTENCES["en"])]
+    pages = pages_of(spark, rows)
+    labels = language.label_languages(pages, profiles)
+    got = {r.id: r for r in labels.collect()}
+    assert {i: (r.line_no, r.lang, r.chars > 0) for i, r in got.items()} == {1: (0, "pt", False), 2: (0, "de", False), 3: (0, "en", False), 5: (0, "en", True)}
+    assert all(0 < got[i].confidence < got[5].confidence for i in (1, 2, 3))
+    assert {r.id for r in language.language_faults(pages.drop("line_no", "lang"), labels).collect()} == {5}
+
+
 def test_stored_labels(spark):
     cases = [("PT", "pt"), ("pt_br", "pt"), ("eng", "en"), (" es-419 ", "es"), ("DEU", "de"), ("xx", None), ("", None), (None, None), ("unknown", None), ("und", None)]
     rows = spark.createDataFrame([(a,) for a, _ in cases], "l string").select(language.labelled_as(F.col("l")).alias("x")).collect()
