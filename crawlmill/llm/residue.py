@@ -146,11 +146,14 @@ _BLANKS = "\t\r\f\v\u00a0\u2002\u2003\u2009\u202f\u3000"
 
 
 def terms_text(text: Column) -> Column:
-    """``text`` as the detectors read it: lower case, single spaces, letters without marks; null is ''."""
+    """``text`` as the detectors read it: lower case, single spaces, none at the ends of lines, letters without marks; null is ''."""
     bare = F.translate(F.lower(F.coalesce(text, F.lit(""))), _MARKED + _BLANKS, _BARE + " " * len(_BLANKS))
     for run in ("    ", "  ", "  "):
         bare = F.replace(bare, F.lit(run), F.lit(" "))
-    return bare
+    bare = F.regexp_replace(bare, "  +", " ")  # runs longer than those above undo
+    for outer in (" \n", "\n "):
+        bare = F.replace(bare, F.lit(outer), F.lit("\n"))
+    return F.trim(bare)
 
 
 def _detect(title: Column, text: Column) -> Column:

@@ -107,6 +107,13 @@ def test_residue(spark):
     assert residue.without_residue(spark.range(len(rows)), pages_of(spark, rows)).count() == len(SOUND)
 
 
+def test_residue_with_outer_blanks(spark):
+    said = ["undefined", "[object Object]", "503", "Internal Server Error.", "Erro interno do servidor"]
+    rows = [(i, "h.example", "t", f"Menu\r\n{x}\r\n{GOOD}\r\n") for i, x in enumerate(said)]
+    rows += [(10, "h.example", "t", f"Menu\n\t \u00a0 null \u00a0\t\n{GOOD}"), (11, "h.example", "t", f"{' ' * 99}NaN{' ' * 99}\n{GOOD}"), (12, "h.example", "t", f"{GOOD}\r\n\r\n{GOOD} \r\n")]
+    assert {r.id for r in residue.residue_pages(pages_of(spark, rows)).collect()} == {*range(len(said)), 10, 11}
+
+
 def test_residue_by_evidence(spark):
     said = "This page was blocked by its owner"
     rows = [(i, f"h{i}.example", "A title of its own", said) for i in range(3)] + [(9, "h9.example", "A title", "This door was blocked once")]
