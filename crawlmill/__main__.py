@@ -1,4 +1,4 @@
-"""python -m crawlmill query NAME ROOT OUT | crawl STORE CORPUS SEEDS [--browser] [--epochs N] | backfill STORE"""
+"""python -m crawlmill query NAME ROOT OUT | crawl STORE CORPUS SEEDS [--browser] [--epochs N] [--robots CORPUS] | backfill STORE"""
 
 from __future__ import annotations
 
@@ -25,6 +25,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         run.add_argument(name)
     run.add_argument("--browser", action="store_true")
     run.add_argument("--epochs", type=int, default=1)
+    run.add_argument("--robots", help="robots corpus (domain, status, text)")
     fill = commands.add_parser("backfill", help="embeds indexed pages without an embedding")
     fill.add_argument("store")
     args = parser.parse_args(argv)
@@ -36,7 +37,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     elif args.command == "crawl":
         store = SnapshotStore(spark, args.store)
         seeds = spark.read.parquet(args.seeds)
-        crawl.crawl(store, spark.read.parquet(args.corpus), seeds, now, args.epochs, CrawlConfig.from_env(), args.browser)
+        robots = spark.read.parquet(args.robots) if args.robots else None
+        crawl.crawl(store, spark.read.parquet(args.corpus), seeds, now, args.epochs, CrawlConfig.from_env(), args.browser, robots)
     else:
         store = SnapshotStore(spark, args.store)
         pages = store.read("pages")

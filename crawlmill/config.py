@@ -48,6 +48,7 @@ class CrawlConfig:
     min_heading: int = 6
     min_text: int = 30
     embedding_dim: int = 768
+    playwright_fallback_to_pending: bool = False
     excluded_domains: tuple[str, ...] = EXCLUDED_DOMAINS
     tracking_hosts: tuple[str, ...] = TRACKING_HOSTS
 
@@ -59,7 +60,8 @@ class CrawlConfig:
             raw = env.get(f.name.upper())
             if raw is None:
                 continue
-            given[f.name] = csv_set(raw) if f.name in ("excluded_domains", "tracking_hosts") else int(raw)
+            read = csv_set if f.name in ("excluded_domains", "tracking_hosts") else truthy if f.name.startswith("playwright") else int
+            given[f.name] = read(raw)
         return cls(**given)
 
 

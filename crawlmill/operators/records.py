@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from crawlmill.functions.text import sanitized
 from crawlmill.operators.frontier import numbered
 
 PAGE_COLUMNS = (
@@ -58,6 +59,12 @@ def rules_with_robots(rules: DataFrame, fetched: DataFrame) -> DataFrame:
     return both.select(*[text if c == "robots_txt" else F.col(c) for c in rules.columns])
 
 
+def robots_fetched(claimed: DataFrame, robots: DataFrame) -> DataFrame:
+    """(domain, text) of the hosts of ``claimed`` by a robots corpus (domain, status, text): null unless the status is 200."""
+    text = F.max(F.when(F.col("status") == 200, sanitized(F.col("text")))).alias("text")
+    return claimed.select("domain").where("domain is not null").distinct().join(robots.groupBy("domain").agg(text), "domain", "left")
+
+
 def rules_touched(rules: DataFrame, crawled: DataFrame, batch_ts: Column) -> DataFrame:
     """Rules with last_crawled_at set for the hosts of ``crawled``; hosts without a rule stay without."""
     hit = crawled.select("domain").where("domain is not null").distinct().withColumn("_in", F.lit(True))

@@ -67,15 +67,22 @@ def found_links(ok_pages: DataFrame) -> DataFrame:
     ).withColumn("target_domain", domain_of(F.col("target_url")))
 
 
-def epoch(tables: dict[str, DataFrame], corpus: DataFrame, batch_ts: Column, config: CrawlConfig = CrawlConfig(), browser: bool = False) -> dict[str, DataFrame]:
+def epoch(tables: dict[str, DataFrame], corpus: DataFrame, batch_ts: Column, config: CrawlConfig = CrawlConfig(), browser: bool = False, robots: DataFrame | None = None) -> dict[str, DataFrame]:
     """Queue, pages, page_links and domain_rules after one batch.
 
     In order: pages, rules, found links into the queue, edges, states of the
-    claimed rows. Hosts over the page cap count pages of this batch too.
+    claimed rows. Hosts over the page cap count pages of this batch too. Claimed
+    hosts without a stored robots text get that of ``robots`` (domain, status,
+    text) before the gates; the browser fetches none. A browser without rows of
+    its own takes any pending ones if the configuration says so.
     """
     claimed = cut(frontier.claim(tables["crawler_queue"], config.batch_size, browser))
+    if browser and config.playwright_fallback_to_pending and claimed.limit(1).count() == 0:
+        claimed = cut(frontier.claim(tables["crawler_queue"], config.batch_size))
     queue = frontier.leased(tables["crawler_queue"], claimed, batch_ts)
     rules = records.rules_completed(tables["domain_rules"], claimed, config.crawl_delay_ms)
+    if robots is not None and not browser:
+        rules = cut(records.rules_with_robots(rules, records.robots_fetched(claimed, robots)))
     got = cut(fetched(claimed, rules, corpus, config, browser))
     results = frontier.classified(got)
     good = got.join(results.where("ok").select("item_id"), "item_id", "left_semi")
@@ -90,17 +97,23 @@ def epoch(tables: dict[str, DataFrame], corpus: DataFrame, batch_ts: Column, con
     }
 
 
-def crawl(store: SnapshotStore, corpus: DataFrame, seeds: DataFrame, batch_ts: Column, epochs: int, config: CrawlConfig = CrawlConfig(), browser: bool = False) -> int:
-    """Runs epochs until nothing is pending or ``epochs`` is reached; an idle queue is seeded once. Epochs run."""
+def crawl(store: SnapshotStore, corpus: DataFrame, seeds: DataFrame, batch_ts: Column, epochs: int, config: CrawlConfig = CrawlConfig(), browser: bool = False, robots: DataFrame | None = None) -> int:
+    """Runs epochs until nothing is pending or ``epochs`` is reached; an idle queue is seeded once. Epochs run.
+
+    Seeds without a host or of a host at the page cap are left out.
+    """
     names, seeded = ("crawler_queue", "pages", "page_links", "domain_rules"), False
     for done in range(epochs):
         tables = {n: store.read(n) for n in names}
         wanted = frontier.rendered() if browser else frontier.light()
+        if browser and config.playwright_fallback_to_pending:
+            wanted = F.col("status") == "pending"
         if tables["crawler_queue"].where(wanted).limit(1).count() == 0:
             if seeded:
                 return done
-            store.commit({"crawler_queue": frontier.reactivated(tables["crawler_queue"], seeds, batch_ts)})
+            open_seeds = links.under_cap(seeds.where("domain <> ''"), tables["pages"], config.max_pages_per_domain)
+            store.commit({"crawler_queue": frontier.reactivated(tables["crawler_queue"], open_seeds, batch_ts)})
             seeded = True
             continue
-        store.commit(epoch(tables, corpus, batch_ts, config, browser))
+        store.commit(epoch(tables, corpus, batch_ts, config, browser, robots))
     return epochs

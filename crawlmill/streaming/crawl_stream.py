@@ -13,7 +13,7 @@ from crawlmill.plans.crawl import epoch
 from crawlmill.sources.store import SnapshotStore
 
 
-def start(addresses: DataFrame, corpus: DataFrame, store: SnapshotStore, checkpoint: str, config: CrawlConfig = CrawlConfig()) -> StreamingQuery:
+def start(addresses: DataFrame, corpus: DataFrame, store: SnapshotStore, checkpoint: str, config: CrawlConfig = CrawlConfig(), robots: DataFrame | None = None) -> StreamingQuery:
     """Adds streamed (url, priority, ts) rows to the queue and crawls a batch after each micro-batch.
 
     The time of a batch is the latest ``ts`` in it, so that a rerun gives the
@@ -29,6 +29,6 @@ def start(addresses: DataFrame, corpus: DataFrame, store: SnapshotStore, checkpo
         incoming = new.select("url", domain_of(F.col("url")).alias("domain"), "priority", F.lit(0).alias("depth"), F.lit(False).alias("needs_js"))
         store.commit({"crawler_queue": frontier.upserted(store.read("crawler_queue"), incoming, ts)})
         tables = {n: store.read(n) for n in ("crawler_queue", "pages", "page_links", "domain_rules")}
-        store.commit(epoch(tables, corpus, ts, config))
+        store.commit(epoch(tables, corpus, ts, config, robots=robots))
 
     return addresses.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

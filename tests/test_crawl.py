@@ -72,6 +72,38 @@ def test_browser_takes_what_needs_scripts(spark, tmp_path):
     assert out["crawler_queue"].where("url = 'https://z.example/p'").first().status == "done"
 
 
+def test_robots_of_new_hosts(spark, tmp_path):
+    store = fresh_store(spark, tmp_path)
+    rows = [(i, f"https://{h}/", h, 5, 0, "pending", 0, None, datetime(2025, 1, 1), None) for i, h in enumerate("abcde")]
+    store.commit({"crawler_queue": spark.createDataFrame(rows, QUEUE), "domain_rules": spark.createDataFrame([("b", False, 1, None, ""), ("c", False, 1, None, "User-agent: *\nDisallow:")], RULES)})
+    corpus = spark.createDataFrame([(f"https://{h}/", 200, "text/html", None, page()) for h in "abcde"], CORPUS)
+    stop = "User-agent: *\nDisallow: /"
+    robots = spark.createDataFrame([("a", 200, stop), ("b", 200, stop), ("c", 200, stop), ("d", 404, stop), ("z", 200, stop)], "domain string, status int, text string")
+    crawl.crawl(store, corpus, rows_of_seeds(spark), ts(), 1, robots=robots)
+    assert {r.url: r.status for r in store.read("crawler_queue").collect()} == {f"https://{h}/": "failed" if h in "ab" else "done" for h in "abcde"}
+    assert {r.domain: r.robots_txt for r in store.read("domain_rules").collect()} == {"a": stop, "b": stop, "c": "User-agent: *\nDisallow:", "d": None, "e": None}
+    assert {r.domain for r in store.read("pages").collect()} == {"c", "d", "e"}
+
+
+def rows_of_seeds(spark, *rows):
+    return spark.createDataFrame(list(rows), "url string, domain string, priority int")
+
+
+def test_seeds_of_full_hosts_stay_out(spark, tmp_path):
+    store = fresh_store(spark, tmp_path)
+    crawl.crawl(store, site(spark), rows_of_seeds(spark), ts(), 1)
+    store.commit({"crawler_queue": spark.createDataFrame([], QUEUE)})
+    seeds = rows_of_seeds(spark, ("https://a.example/", "a.example", 9), ("https://n.example/", "n.example", 9), ("nothing", "", 9))
+    crawl.crawl(store, site(spark), seeds, ts(), 1, CrawlConfig(max_pages_per_domain=1))
+    assert [r.url for r in store.read("crawler_queue").collect()] == ["https://n.example/"]
+
+
+def test_browser_falls_back_to_pending(spark, tmp_path):
+    store = fresh_store(spark, tmp_path)
+    crawl.crawl(store, site(spark), rows_of_seeds(spark), ts(), 1, CrawlConfig.from_env({"PLAYWRIGHT_FALLBACK_TO_PENDING": "true"}), browser=True)
+    assert store.read("crawler_queue").where("id = 1").first().status == "done"
+
+
 def test_rendered_fallbacks(spark):
     rows = [
         ("a", 500, None, None, page(), None, None, None, "html"),
