@@ -311,29 +311,49 @@ def test_packing_of_little(spark):
 
 
 @pytest.fixture(scope="module")
-def lengths(spark):
-    return encoding.Lengths(encoding.fit_dictionaries(spark.read.parquet(f"{ROOT}/lang_samples.parquet")))
+def restorer(spark):
+    return encoding.Restorer(encoding.Lengths(encoding.fit_dictionaries(spark.read.parquet(f"{ROOT}/lang_samples.parquet"))))
 
 
 WRONG = [("utf-8", "cp1252"), ("utf-8", "latin-1"), ("utf-8", "mac_roman"), ("utf-8", "cp437"), ("utf-8", "cp1251"), ("cp1252", "mac_roman"), ("cp1252", "koi8_r"), ("cp1252", "cp850")]
 
 
 @pytest.mark.parametrize("right,wrong", WRONG)
-def test_round_trips(lengths, right, wrong):
+def test_round_trips(restorer, right, wrong):
     text = "A atualização de março não altera as previsões para a região.\nPlain line.\nO índice de busca reduz o consumo de memória após três meses."
     table = encoding.MAPS[wrong]
     garbled = "".join(c if ord(c) < 128 else "".join(table[b] for b in c.encode(right)) for c in text)
-    found, fixed, chain = encoding.restore(garbled, lengths)
+    found, fixed, chain = restorer.text(garbled)
     assert found and fixed == text and chain
 
 
-def test_twice_garbled_and_in_part(lengths):
+def test_twice_garbled_and_in_part(restorer):
     line = "A produção de café não altera a configuração padrão."
     once = line.encode().decode("cp1252", "replace")
     twice = "".join(encoding.MAPS["cp1252"][b] for b in once.encode())
-    found, fixed, _ = encoding.restore(f"{line}\n{twice}", lengths)
+    found, fixed, _ = restorer.text(f"{line}\n{twice}")
     assert found and fixed == f"{line}\n{line}"
-    assert encoding.restore("navega&Atilde;&sect;&Atilde;&pound;o do portal", lengths)[1] == "navegação do portal"
+    assert restorer.text("navega&Atilde;&sect;&Atilde;&pound;o do portal")[1] == "navegação do portal"
+    assert restorer.text("B&Atilde;&frac14;cherei")[1] == "Bücherei"
+
+
+def test_wrong_readings_that_give_usual_letters(restorer):
+    """No letter here stands in an unusual place; the dictionaries alone tell."""
+    assert restorer.text("El compilador revisa el c·lculo de las rutas y las c·maras de la estaciÛn")[1] == "El compilador revisa el cálculo de las rutas y las cámaras de la estación"
+
+
+def test_the_bound_drops_no_chain(restorer):
+    """The chain found is the shortest of all chains of one step, worked out without the bound."""
+    for line in ("nÃ£o hÃ¡ dÃºvida", "A polÌtica e o Ìndice das p·ginas", "a configuraзгo padrгo", "É\xa0proibida a cópia", "preço £214 ou ¢214"):
+        spans, of = encoding.SPAN.findall(line), restorer.lengths.of
+        costs = [(sum(map(of, spans)).min(), line)]
+        for step in (*(f"{c}>utf-8" for c in encoding.SINGLE_BYTE), *sorted(encoding.OTHERS)):
+            ways = [encoding.undo(step, s) for s in spans]
+            if any(w[0] != s for w, s in zip(ways, spans)):
+                extra = sum(restorer.lengths.extra(s, w, n, (step,)) for s, (w, n) in zip(spans, ways))
+                parts = iter(w for w, _ in ways)
+                costs.append((sum(of(w) for w, _ in ways).min() + encoding.step_cost(step) + extra, encoding.SPAN.sub(lambda _: next(parts), line)))
+        assert restorer.line(line)[0] == min(costs, key=lambda x: x[0])[1]
 
 
 @pytest.mark.parametrize(
@@ -343,8 +363,8 @@ def test_twice_garbled_and_in_part(lengths):
         "sayfa dün gece güncellendi, şimdi daha hızlı açılıyor.", "¿QUÉ PASÓ EN N? ¡ADIÓS, MAÑANA!", "GRÖSSE ÜBER 87 §, ÄNDERUNG Ø 87 µ.", "café e ação, preço £214 ou ¢214", "",
     ],
 )
-def test_unusual_by_right(lengths, text):
-    assert encoding.restore(text, lengths) == (False, text, [])
+def test_unusual_by_right(restorer, text):
+    assert restorer.text(text) == (False, text, [])
 
 
 def test_garbled_documents(spark):
