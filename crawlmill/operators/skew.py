@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlmill.session import cut
@@ -15,28 +13,30 @@ ROWS_PER_PART = 100_000
 MOST_HOT_KEYS = 10_000
 
 
-def salted_semi_join(rows: DataFrame, keys: DataFrame, on: list[str], count: str, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
-    """``rows`` with a partner in ``keys``; ``keys`` is distinct on ``on`` and ``count`` holds its rows in ``rows``.
+def salted_join(rows: DataFrame, keys: DataFrame, on: list[str], count: str, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+    """``rows`` with a partner in ``keys`` and its other columns; ``keys`` is distinct on ``on`` and ``count`` holds its rows in ``rows``.
 
     Hot keys are split over ceil(count / part) salts on both sides. A part has at
     least ``rows_per_part`` rows and at least a ``MOST_HOT_KEYS``-th of all
     matching rows, so at most ``MOST_HOT_KEYS`` keys are hot and their list can be
-    broadcast. Null keys match nothing. Columns and their order stay.
+    broadcast. Null keys match nothing.
     """
-    keys = cut(keys.select(*on, count))  # they are read for their total, for the hot ones and for the join
+    keys = cut(keys)  # they are read for their total, for the hot ones and for the join
     total = keys.agg(F.sum(count)).first()[0] or 0
     part = max(rows_per_part, -(-total // MOST_HOT_KEYS))
-    parts = F.ceil(F.col(count) / F.lit(part)).cast("int")
-    sized = keys.select(*on, F.greatest(parts, F.lit(1)).alias("_parts"))
     if total <= part:  # no key can be hot
-        return rows.join(sized.select(*on), on, "left_semi").select(*rows.columns)
-    hot = F.broadcast(sized.where("_parts > 1"))
+        return rows.join(keys, on)
+    parts = F.greatest(F.ceil(F.col(count) / F.lit(part)).cast("int"), F.lit(1))
+    sized = keys.withColumn("_parts", parts)
+    hot = F.broadcast(sized.where("_parts > 1").select(*on, "_parts"))
     # by the row's hash, not at random: a task that runs again must deal its rows in the same way
     dealt = F.pmod(F.xxhash64(*rows.columns), F.col("_parts"))
-    salted = rows.join(hot, on, "left").withColumn("_salt", F.coalesce(dealt, F.lit(0)).cast("int"))
-    spread = sized.select(*on, F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_salt"))
-    return salted.join(spread, [*on, "_salt"], "left_semi").select(*rows.columns)
+    salted = rows.join(hot, on, "left").withColumn("_salt", F.coalesce(dealt, F.lit(0)).cast("int")).drop("_parts")
+    spread = sized.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    return salted.join(spread, [*on, "_salt"]).drop("_salt")
 
 
-def null_safe_equal(left: DataFrame, right: DataFrame, on: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in on])
+def salted_semi_join(rows: DataFrame, keys: DataFrame, on: list[str], count: str, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+    """``rows`` with a partner in ``keys``, as ``salted_join``; columns and their order stay."""
+    keyed = keys.select(*on, F.col(count).alias("_count"))
+    return salted_join(rows, keyed, on, "_count", rows_per_part).select(*rows.columns)

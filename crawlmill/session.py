@@ -28,11 +28,19 @@ def local_session(cores: str | int = "*", partitions: int = 8, app: str = "crawl
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset a local session, whose executors are this process, takes a
+    folder of its own; a cluster raises an error, as its executors could not read
+    each other's disks.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     given = spark.sparkContext.getCheckpointDir()  # a folder of this application's own within the one named
     if given or named:
         return (given or named).rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     own = tempfile.mkdtemp(prefix="crawlmill-checkpoint-")
     spark.conf.set("spark.checkpoint.dir", f"file://{own}")
     return f"file://{own}"
