@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crawlmill.llm import encoding, language, main_content, neighbours, packing, residue, site_lines, tokens
+from crawlmill.llm import encoding, language, main_content, neighbours, packing, residue, signs, site_lines, tokens
+from crawlmill.session import cut
 from crawlmill.sources.tables import table
 
 PAIR_SIMILARITY = 0.85
@@ -16,8 +17,12 @@ def _pages(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "pages")
 
 
-def _sound(rows: DataFrame, spark: SparkSession, root: str) -> DataFrame:
-    return residue.without_residue(rows, _pages(spark, root), table(spark, root, "crawler_queue"))
+def _lines(spark: SparkSession, root: str) -> DataFrame:
+    return cut(signs.line_signs(_pages(spark, root), table(spark, root, "lang_samples")))
+
+
+def _sound(rows: DataFrame, lines: DataFrame, spark: SparkSession, root: str) -> DataFrame:
+    return residue.without_residue(rows, residue.residue_pages(lines, table(spark, root, "crawler_queue")))
 
 
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
@@ -41,21 +46,37 @@ def p3_languages(spark: SparkSession, root: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     faults = language.language_faults(_pages(spark, root), p3_languages(spark, root))
-    return _sound(faults, spark, root)
+    return _sound(faults, _lines(spark, root), spark, root)
+
+
+def p5_evidence(spark: SparkSession, root: str) -> DataFrame:
+    """Kinds and scores of the evidence against every page that p5_found gives."""
+    return residue.evidence(_lines(spark, root), table(spark, root, "crawler_queue"))
 
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
-    return residue.residue_pages(_pages(spark, root), table(spark, root, "crawler_queue"))
+    return p5_evidence(spark, root).select("id").distinct()
+
+
+def _sound_lines(lines: DataFrame, spark: SparkSession, root: str) -> DataFrame:
+    return _sound(lines, lines, spark, root)
 
 
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
-    lines = _sound(site_lines.hashed_lines(_pages(spark, root)), spark, root)
-    return site_lines.repeated_lines(lines)
+    return site_lines.repeated_lines(_sound_lines(_lines(spark, root), spark, root))
+
+
+def p6_clusters(spark: SparkSession, root: str) -> DataFrame:
+    """Clusters of like lines on ten documents of a site or more."""
+    lines = _sound_lines(_lines(spark, root), spark, root)
+    return site_lines.cluster_report(site_lines.clusters(lines), lines)
 
 
 def p6_clean(spark: SparkSession, root: str) -> DataFrame:
-    """Every summary without the lines repeated over its site."""
-    return site_lines.without_lines(_pages(spark, root), p6_found(spark, root))
+    """Every summary without the lines repeated over its site, with changing names or not."""
+    lines = _lines(spark, root)
+    found = site_lines.clusters(_sound_lines(lines, spark, root))
+    return site_lines.without_texts(_pages(spark, root), lines, found)
 
 
 def p7_blocks(spark: SparkSession, root: str) -> DataFrame:
@@ -112,7 +133,9 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_languages": p3_languages,
     "p5_found": p5_found,
+    "p5_evidence": p5_evidence,
     "p6_found": p6_found,
+    "p6_clusters": p6_clusters,
     "p6_clean": p6_clean,
 }
 

@@ -1,10 +1,14 @@
 """Template residue, filler, error pages and script notices in titles and summaries.
 
-Detectors look at the terms of title and body line by line. What they know is
-certain by itself. Other short lines with a hint of failure are flagged on
-combined evidence: the same response stands on several hosts, has nothing in
-common with the address slug and title of its pages, or the crawler noted that
-the page needs scripts.
+Nothing here knows a phrase. A page is silent if no line of its body informs: every
+sentence in it, with function words, stands on several addresses. Responses given in
+place of content leave pages silent, while menus and notices stand beside content on
+nearly all of their pages; so the share of silent pages among those that open a line
+in the same way tells responses, as soon as it is sure for their number and comes from
+more than one host, or is far above what is usual on the one. What has terms in common
+with the page's slug and title needs more evidence, a page that the crawler noted to
+need scripts less. Placeholders are told by their marks, filler by its lack of
+function words or by the same few words over and over.
 """
 
 from __future__ import annotations
@@ -12,226 +16,114 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crawlmill.llm.lines import with_host
+from crawlmill.llm.signs import FILLER, PLACEHOLDER, RELATED, SENTENCE
+from crawlmill.operators.skew import salted_join, salted_semi_join
 from crawlmill.session import cut
 
-#: Pages and hosts a suspicious response must stand on; one page less where scripts are needed.
-LEAST_PAGES, LEAST_HOSTS = 3, 3
-#: More pages a host than this, and the line is furniture of the hosts rather than a response.
-MOST_PAGES_A_HOST = 5
-
-# Marks that a template leaves where a value is missing. Texts are in lower case here.
-_NAME = r"[a-z_][\w.]*"
-PLACEHOLDERS = (
-    rf"\{{\{{ ?{_NAME} ?\}}\}}",
-    rf"\{{% ?{_NAME} ?%\}}",
-    rf"<%=? ?{_NAME} ?%>",
-    rf"[$#@]\{{{_NAME}\}}",
-    rf"\[\[ ?{_NAME} ?\]\]",
-    rf"\[{_NAME} here\]",
-    rf"%%{_NAME}%%",
-    rf"##{_NAME}##",
-    r"__[a-z]+(_[a-z]+)*__",
-    rf"%\({_NAME}\)[sd]",
-    r"<[a-z][a-z_.]{3,30}>",
-    r"\{\d\}",
-    r"(?<![\w%])%[sd](?!\w)",
-)
-# Words of texts that explain placeholders; a line with one of each kind quotes.
-TEMPLATE_WORDS = (
-    "template", "modelo", "plantilla", "gabarit", "vorlage", "modelli", "modello", "placeholder", "platzhalter",
-    "marcador", "segnaposto", "syntax", "sintaxe", "sintaxis", "syntaxe", "sintassi",
-)
-VALUE_WORDS = (
-    "mark", "marca", "marque", "segno", "value", "valor", "valeur", "valore", "wert", "variable", "variável", "variabile",
-)
-
-# Beginnings of lines that are a response in place of content.
-RESPONSES = (
-    # status codes and server messages
-    r"(http )?(status|error|erro|fehler|erreur|errore)? ?[45]\d\d( ?[-–:|] .*| (bad gateway|not found|forbidden|gone|internal server error|service unavailable|gateway time-?out|too many requests|unauthorized).*)?$",
-    r"http status [45]\d\d\b",
-    r"(internal server error|interner serverfehler|erreur interne du serveur|erro interno do servidor|error interno del servidor|errore interno del server)\.?$",
-    r"traceback \(most recent call last\)",
-    r"(fatal error|uncaught \w*error|parse error):",
-    r"warning: .*(timed out|failed|undefined|refused)",
-    r"request blocked\b",
-    r"(undefined|null|nan|none|\[object object\])$",
-    # missing pages
-    r"(the )?page you are looking for (does not|doesn.t) exist",
-    r"a página que você procura não existe",
-    r"la página que buscas no existe",
-    r"la page (demandée|que vous cherchez) n.existe pas",
-    r"die gesuchte seite (gibt es nicht|existiert nicht)",
-    r"la pagina che (cerchi|stai cercando) non esiste",
-    r"this (content|page) is no longer available",
-    r"(este conteúdo|esta página) não está mais disponível",
-    r"este contenido ya no está disponible",
-    r"ce contenu n.est plus disponible",
-    r"dieser inhalt ist nicht mehr verfügbar",
-    r"questo contenuto non è più disponibile",
-    # blocks and sessions
-    r"(access denied|acesso negado|acceso denegado|accès refusé|zugriff verweigert|accesso negato)\b",
-    r"your session has expired|sua sessão expirou|(tu|su) sesión (ha caducado|caducó|expiró|ha expirado)|votre session a expiré|(ihre|deine) sitzung ist abgelaufen|la (tua )?sessione è scaduta",
-    r"checking (that|if) your connection is secure|estamos verificando se a conexão|(estamos )?(comprobando|comprobamos|verificando) (si|que) (la|tu) conexión|(nous )?vérifi\w+ (que|si) (la|votre) connexion|(wir )?prüfen,? ob (die|ihre) verbindung|(stiamo )?(verificando|controllando|verifichiamo|controlliamo) (che|se) la (tua )?connessione",
-    # failures and maintenance
-    r"(oops|ops|oups|hoppla|¡?vaya|¡?ups) ?!",
-    r"something went wrong|algo deu errado|algo salió mal|etwas ist schiefgegangen|qualcosa è andato storto",
-    r"(this|our) site is down for maintenance|site em manutenção|sitio en mantenimiento|site en maintenance|wartungsarbeiten|sito in manutenzione",
-    r"(loading, please wait|carregando, aguarde|cargando, espera|chargement, veuillez patienter|wird geladen, bitte warten|caricamento in corso)",
-    # instructions of an editor
-    r"insert the story content|insira aqui o conteúdo|inserta aquí el contenido|insérez ici le contenu|hier den inhalt des artikels|inserisci qui il contenuto",
-    # filler
-    r"lorem ipsum(\.|$| dolor)",
-    r"(?<unit>(?:[\p{L}']++ ){1,4})\k<unit>+(?:[\p{L}']++ ?){0,4}$",
-)
-# A line that tells the editor what to put there.
-EDITOR_LINE = r"[^\n.]{0,24}(headline|title|título|titre|titel|titolo|überschrift|schlagzeile)[^\n.]{0,16} (goes here|vai aqui|va aquí|vient ici|va ici|ici|kommt hierhin|steht hier|hier|va qui)\b"
-# Function words of the six languages; a sentence has some, filler Latin has none.
-FUNCTION_WORDS = (
-    "a", "o", "os", "as", "um", "uma", "de", "do", "da", "dos", "das", "que", "e", "em", "no", "na", "com", "por", "para", "os",
-    "the", "of", "and", "to", "in", "is", "on", "at", "an", "with", "for", "by", "that", "this", "from", "it", "its", "their", "who",
-    "el", "la", "los", "las", "un", "una", "del", "y", "en", "con", "se", "al", "su", "si", "es",
-    "le", "les", "des", "du", "une", "et", "dans", "pour", "par", "sur", "ses", "ce", "qui", "au", "aux", "l", "d", "n",
-    "der", "die", "das", "den", "dem", "ein", "eine", "einen", "und", "von", "mit", "zu", "im", "auf", "nicht", "so", "aus", "wir", "sie",
-    "il", "lo", "gli", "i", "di", "che", "del", "della", "delle", "per", "al", "alla", "non", "chi", "li", "ci",
-)
-# Words of notices about scripts, and of features a notice may be about beside real content.
-SCRIPT_WORDS = r"\b(javascript|scripts?|skripte?)\b"
-SWITCH_WORDS = r"\b(enable|turn on|need|requires?|support|habilitar|habilite|ativ[ae]r?|suporte|desligados|activar|activa|active[rz]?|admite|apagados|devez|gère|coupés|aktivieren|einschalten|schalten|müssen|ausführen|abilitare|abilita|attiva|supporta|spenti)\b"
-FEATURE_WORDS = r"(coment|comment|komment|v[ií]d[eé]o|mapa?\b|karte|carte|player)"
-# Titles given by an editor or server before there is a content.
-EMPTY_TITLES = (
-    "error", "erro", "fehler", "erreur", "errore", "oops", "ops", "oups", "hoppla", "ups", "untitled", "title", "titel",
-    "título", "titre", "titolo", "sem título", "sin título", "sans titre", "ohne titel", "senza titolo", "test", "new page",
-    "nova página", "página nova", "nueva página", "nouvelle page", "neue seite", "nuova pagina", "lorem ipsum", "[45]\\d\\d",
-    "tes?te?( \\d+)?", "prueba( \\d+)?", "prova( \\d+)?", "essai( \\d+)?",
-)
-# Hints of a failure, too weak by themselves.
-HINTS = (
-    "denied", "negad", "denegad", "refusé", "verweigert", "negato", "blocked", "bloquead", "bloqué", "gesperrt", "bloccat",
-    "unavailable", "indispon", "nicht verfügbar", "no longer", "não está mais", "ya no", "n.est plus", "nicht mehr", "non è più",
-    "not found", "não encontrad", "no encontrad", "introuvable", "nicht gefunden", "non trovat", "expired", "expirou", "caducad",
-    "expiré", "abgelaufen", "scadut", "timed out", "try again", "tente de novo", "intentarlo", "réessay", "noch einmal", "riprova",
-    "wrong", "errad", "captcha", "robot", "cloudflare", "placeholder", "sample", "exemplo de texto", "texto de exemplo",
-)
-
-
-# Letters with and without their marks; texts often come without marks.
-_MARKED = "áàâãäåéèêëíìîïóòôõöúùûüçñ’"
-_BARE = "aaaaaaeeeeiiiiooooouuuucn'"
-
-
-def _any(parts: tuple[str, ...]) -> str:
-    return "(?:" + "|".join(parts) + ")"
-
-
-def _bare(pattern: str) -> str:
-    return pattern.translate(str.maketrans(_MARKED, _BARE))
-
-
-_PLACEHOLDER = _any(PLACEHOLDERS)
-_QUOTED = _bare(rf"(?m)^(?=.*{_any(TEMPLATE_WORDS)})(?=.*\b{_any(VALUE_WORDS)}\b).*$")
-_RESPONSE = _bare(r"(?m)^ ?(?:" + "|".join(RESPONSES) + ")")
-_FILLER = rf"(?m)^ ?(?=[a-z ,.]+\. ?$)(?=(?:[a-z]+[ ,.]+){{3}}[a-z])(?!.*\b{_any(FUNCTION_WORDS)}\b)"
-_SCRIPT = _bare(rf"(?m)^(?!.*{FEATURE_WORDS})(?=.{{0,60}}{SCRIPT_WORDS})(?=.{{0,90}}{SWITCH_WORDS}).{{5,110}}$")
-_EDITOR = _bare(rf"(?m)^{EDITOR_LINE}")
-_MASHED = r"(?m)\b(asdf|qwerty|blabla)\b|^ ?(?:(?:teste?|qwer|(?<key>\w)\k<key>{2,}|12345?6?|foo|bar)[ .,]*){4,}$"
-_TITLE = _bare(rf"^ ?{_any(EMPTY_TITLES)}( [-–|] [^-–|]+)? ?$")
-_HINT = _bare(_any(HINTS))
-
-
-# White space that is no line feed and no plain space.
-_BLANKS = "\t\r\f\v\u00a0\u2002\u2003\u2009\u202f\u3000"
-
-
-def terms_text(text: Column) -> Column:
-    """``text`` as the detectors read it: lower case, single spaces, none at the ends of lines, letters without marks; null is ''."""
-    bare = F.translate(F.lower(F.coalesce(text, F.lit(""))), _MARKED + _BLANKS, _BARE + " " * len(_BLANKS))
-    for run in ("    ", "  ", "  "):
-        bare = F.replace(bare, F.lit(run), F.lit(" "))
-    bare = F.regexp_replace(bare, "  +", " ")  # runs longer than those above undo
-    for outer in (" \n", "\n "):
-        bare = F.replace(bare, F.lit(outer), F.lit("\n"))
-    return F.trim(bare)
-
-
-def _detect(title: Column, text: Column) -> Column:
-    said = [text.contains(x) for x in (" here", " aqui", " hier", " ici", " qui")]
-    return (
-        title.rlike(_TITLE)
-        | (text.rlike(r"[{\[%#<]|__") & text.rlike(_PLACEHOLDER) & F.regexp_replace(text, _QUOTED, "").rlike(_PLACEHOLDER))
-        | text.rlike(_RESPONSE)
-        | text.rlike(_FILLER)
-        | ((text.contains("script") | text.contains("skript")) & text.rlike(_SCRIPT))
-        | ((said[0] | said[1] | said[2] | said[3] | said[4]) & text.rlike(_EDITOR))
-        | ((text.contains("asdf") | text.contains("qwer") | text.contains("blabla") | text.contains("test ")) & text.rlike(_MASHED))
+#: Addresses from which on a sentence is a notice or response and informs no more.
+REPEATED = 3
+#: Least silent share of an opening, at the lower end of its 95 % interval; more is asked where terms are related, less where scripts are needed.
+LEAST_SHARE, RELATED_MORE, SCRIPTS_LESS = 0.5, 0.3, 0.1
+#: An opening of one host needs so many pages, and a silent share so much above the host's.
+ONE_HOST_PAGES, ONE_HOST_MORE = 10, 0.3
+
+
+def _has(flag: int) -> Column:
+    return F.col("flags").bitwiseAND(flag) != 0
+
+
+def sure_share(k: Column, n: Column) -> Column:
+    """Lower end of Wilson's 95 % interval of k in n."""
+    z2 = 1.96**2
+    return (k + z2 / 2 - 1.96 * F.sqrt(k * (n - k) / n + z2 / 4)) / (n + z2)
+
+
+def page_states(lines: DataFrame) -> DataFrame:
+    """(id, host, url_hash, body, silent, placeholder, filler) of pages with a line; ``body`` if one is not the title."""
+    sentences = lines.where(_has(SENTENCE) & ~_has(FILLER) & (F.col("line_no") > 0)).select("id", "body", "url_hash")
+    by_address = sentences.groupBy("body", "url_hash").agg(F.count(F.lit(1)).alias("n"))
+    repeated = by_address.groupBy("body").agg(F.count(F.lit(1)).alias("addresses"), F.sum("n").alias("n"))
+    again = salted_semi_join(sentences, repeated.where(F.col("addresses") >= REPEATED), ["body"], "n")
+    known = again.groupBy("id").agg(F.count(F.lit(1)).alias("known"))
+    told = _has(SENTENCE) & ~_has(FILLER) & (F.col("line_no") > 0)
+    pages = lines.groupBy("id").agg(
+        F.min("host").alias("host"),
+        F.min("url_hash").alias("url_hash"),
+        (F.max("line_no") > 0).alias("body"),
+        F.sum(told.cast("int")).alias("sentences"),
+        F.max(_has(PLACEHOLDER)).alias("placeholder"),
+        F.max(_has(FILLER)).alias("filler"),
     )
+    silent = F.col("sentences") == F.coalesce("known", F.lit(0))
+    return pages.join(known, "id", "left").withColumn("silent", silent).drop("sentences", "known")
 
 
-def _terms(text: Column) -> Column:
-    return F.filter(F.split(text, r"[^a-z]+"), lambda w: F.length(w) >= 4)
+def responses(lines: DataFrame, quiet: DataFrame, states: DataFrame) -> DataFrame:
+    """(opening, n, share): how sure the silent share of an opening is, of those that are more than usual.
 
-
-def _hinted_lines(title: Column, slug: Column, summary: Column) -> Column:
-    """Short lines with a hint that share no term with title and slug, digits masked."""
-    lines = F.filter(
-        F.split(summary, "\n"),
-        lambda x: (F.length(x) <= 110) & x.rlike(_HINT) & ~x.rlike(r"^ ?(-|•|\*|©)|[|·»]|cookie"),
-    )
-    known = _terms(F.concat_ws(" ", title, slug))
-    apart = F.filter(lines, lambda x: ~F.arrays_overlap(_terms(x), known))
-    return F.transform(apart, lambda x: F.regexp_replace(F.trim(x), "[0-9]+", "0"))
-
-
-def signals(pages: DataFrame) -> DataFrame:
-    """(id, url, host, sure, hints) of the pages with any sign of residue, in one pass over the texts."""
-    slug = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), "([^/]*)/?$", 1))
-    title = terms_text(F.col("title"))
-    read = F.struct(title.alias("t"), F.concat(title, F.lit("\n"), terms_text(F.col("summary"))).alias("s"), slug.alias("u"))
-    # transform() over one element: the folded text is made once for all detectors
-    signs = F.transform(
-        F.array(read),
-        lambda x: F.struct(_detect(x["t"], x["s"]).alias("sure"), _hinted_lines(x["t"], x["u"], x["s"]).alias("hints")),
+    ``quiet`` holds the lines of silent pages that have a body.
+    """
+    seen = quiet.groupBy("opening").agg(
+        F.count(F.lit(1)).alias("k"), F.min("host").alias("host"), (F.min("host") != F.max("host")).alias("hosts")
     )
-    found = with_host(pages).select("id", "url", "host", F.inline(signs))
-    return found.where(F.col("sure") | (F.size("hints") > 0))
-
-
-def by_evidence(found: DataFrame, queue: DataFrame | None = None) -> DataFrame:
-    """Distinct ids of pages flagged on combined evidence only, from ``signals``.
-
-    A hinted line is a response if it stands under ``LEAST_PAGES`` addresses on
-    ``LEAST_HOSTS`` hosts. Where the queue says that one of them needs scripts,
-    one less of each will do.
+    total = lines.groupBy("opening").agg(F.count(F.lit(1)).alias("n"))
+    # lines of pages without a body are titles and prove nothing
+    rated = seen.join(total, "opening").withColumn("share", sure_share(F.col("k"), F.greatest("n", "k")))
+    rated = rated.where(F.col("share") >= LEAST_SHARE - SCRIPTS_LESS)
+    usual = states.where("body").groupBy("host").agg(F.avg(F.col("silent").cast("int")).alias("usual"))
+    single = rated.where(~F.col("hosts") & (F.col("n") >= ONE_HOST_PAGES)).join(usual, "host")
+    single = single.where(F.col("share") - F.col("usual") >= ONE_HOST_MORE)
+    return rated.where("hosts").select("opening", "k", "share").unionByName(single.select("opening", "k", "share"))
+
+
+def evidence(lines: DataFrame, queue: DataFrame | None = None) -> DataFrame:
+    """(id, kind, score) for each kind of evidence against a page, from ``line_signs``.
+
+    ``placeholder`` and ``filler`` score 1; the score of ``response`` is the surest
+    silent share of its lines. A placeholder counts in a title or beside content too,
+    the others only on silent pages. Null and blank texts are no residue; empty
+    tables give no row.
     """
-    hinted = found.where("not sure").select("id", "url", "host", F.explode("hints").alias("line"))
+    states = cut(page_states(lines))
+    quiet = states.where("silent")
+    marked = states.where("placeholder").select("id", F.lit("placeholder").alias("kind"), F.lit(1.0).alias("score"))
+    filled = quiet.where("filler").select("id", F.lit("filler").alias("kind"), F.lit(1.0).alias("score"))
+
+    own = cut(lines.select("id", "host", "opening", "line_no", "flags").join(quiet.select("id", "body", "url_hash"), "id"))
+    rated = responses(lines.where("line_no > 0").unionByName(_titles(lines, states)), own.where("body"), states)
+    said = salted_join(own.select("id", "line_no", "flags", "opening"), rated, ["opening"], "k").withColumn("related", _has(RELATED))
+    title = F.max(F.when(F.col("line_no") == 0, F.col("share")))
+    apart = F.max(F.when((F.col("line_no") > 0) & ~F.col("related"), F.col("share")))
+    near = F.max(F.when((F.col("line_no") > 0) & F.col("related"), F.col("share")))
+    pages = said.groupBy("id").agg(*[F.coalesce(x, F.lit(0.0)).alias(n) for x, n in ((title, "title"), (apart, "apart"), (near, "near"))])
     if queue is None:
-        hinted = hinted.withColumn("js", F.lit(0))
+        least = F.lit(LEAST_SHARE)
     else:
-        wanted = queue.where("needs_js").select("url").distinct().withColumn("js", F.lit(1))
-        hinted = hinted.join(wanted, "url", "left").withColumn("js", F.coalesce("js", F.lit(0)))
-    seen = hinted.groupBy("line").agg(
-        F.countDistinct("url").alias("pages"), F.countDistinct("host").alias("hosts"), F.max("js").alias("js")
-    )
-    said = seen.where(
-        (F.col("pages") >= LEAST_PAGES - F.col("js"))
-        & (F.col("hosts") >= LEAST_HOSTS - F.col("js"))
-        & (F.col("pages") <= MOST_PAGES_A_HOST * F.col("hosts"))
-    ).select("line")
-    return hinted.join(said, "line", "left_semi").select("id").distinct()
+        addresses = quiet.groupBy("url_hash").agg(F.count(F.lit(1)).alias("n"))
+        wanted = queue.where("needs_js").select(F.xxhash64("url").alias("url_hash")).distinct()
+        scripts = salted_semi_join(quiet.select("id", "url_hash"), addresses.join(wanted, "url_hash", "left_semi"), ["url_hash"], "n")
+        pages = pages.join(scripts.select("id", F.lit(SCRIPTS_LESS).alias("less")), "id", "left")
+        least = F.lit(LEAST_SHARE) - F.coalesce("less", F.lit(0.0))
+    # where the title itself is a response, terms in common with it speak for no content
+    related = F.when(F.col("title") >= least, F.col("near")).otherwise(F.col("near") - RELATED_MORE)
+    score = F.greatest("title", "apart", related)
+    flagged = pages.where(score >= least).select("id", F.lit("response").alias("kind"), score.alias("score"))
+    return marked.unionByName(filled).unionByName(flagged)
+
+
+def _titles(lines: DataFrame, states: DataFrame) -> DataFrame:
+    """Titles of the pages that have a body."""
+    return lines.where("line_no = 0").join(states.where("body").select("id"), "id", "left_semi")
 
 
-def residue_pages(pages: DataFrame, queue: DataFrame | None = None) -> DataFrame:
-    """Ids of the pages with residue, each once. Null and blank texts are no residue; empty tables give no row."""
-    found = cut(signals(pages))
-    return found.where("sure").select("id").unionByName(by_evidence(found, queue)).distinct()
+def residue_pages(lines: DataFrame, queue: DataFrame | None = None) -> DataFrame:
+    """Ids of the pages with residue, each once."""
+    return evidence(lines, queue).select("id").distinct()
 
 
-def without_residue(rows: DataFrame, pages: DataFrame, queue: DataFrame | None = None) -> DataFrame:
-    """``rows``, which have a page's id, without those of pages with residue.
+def without_residue(rows: DataFrame, residue: DataFrame) -> DataFrame:
+    """``rows``, which have a page's id, without those of pages with residue; ``rows`` should be narrow, not carry texts.
 
-    The ids are written first, so that their measured size decides how the
-    anti-join runs; ``rows`` should be narrow, not carry texts.
+    The ids are written first, so that their measured size decides how the anti-join runs.
     """
-    return rows.join(cut(residue_pages(pages, queue)), "id", "left_anti")
+    return rows.join(cut(residue), "id", "left_anti")

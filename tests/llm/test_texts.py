@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from crawlmill.llm import encoding, flat, furniture_rules, language, main_content, packing, residue, site_lines, tokens
+from crawlmill.llm import encoding, flat, furniture_rules, language, main_content, packing, residue, signs, site_lines, tokens
 
 ROOT = "/root/testdata/sf0.001"
 PAGE = "id long, url string, domain string, title string, summary string, language string, status string"
@@ -84,12 +84,11 @@ def test_stored_labels(spark):
 # --- problem 5
 
 GOOD = "O projeto Siva mostra que o painel de controle transforma o cálculo das rotas."
-RESIDUE = [
-    ("{{ title }}", GOOD), ("[[CONTENT]] - Site", GOOD), ("Lorem ipsum", None), ("Error", GOOD), ("404", ""), ("t", "Hello ${user.first_name}, see how it works."),
-    ("t", f"Menu\n%(name)s\n{GOOD}"), ("t", "undefined"), ("t", "You need to enable JavaScript to run this app."), ("t", "WIRD GELADEN, BITTE WARTEN…"),
-    ("t", "Vestor nulla integre polor donac. Quamet erat ipsum lorem vestor."), ("t", "sample text sample text sample text"), ("t", "Acesso negado: você não tem permissão"),
-    ("t", "acesso negado: voce nao tem permissao"), ("t", "Headline goes here. Short description goes here."), ("t", "502 Bad Gateway"), ("t", "asdf test qwer asdf"), ("t", "test xxx 1234 aaaa test"),
-    ("t", "Texte d’exemple texte d’exemple texte d’exemple"),
+#: Pages that tell by themselves, whatever other pages say.
+MARKED = [
+    ("{{ title }}", GOOD), ("[[CONTENT]] - Site", GOOD), ("t", "Hello ${user.first_name}, see how it works."), ("t", f"Menu\n%(name)s\n{GOOD}"), ("t", f"{GOOD}\n<titulo>"),
+    ("t", "Vestor nulla integre polor donac. Quamet erat ipsum lorem vestor."), ("t", "sample text sample text sample text"), ("t", "asdf test qwer asdf test qwer 1234"),
+    ("t", "DONAC LOREM PULVIS FAUCET."),
 ]
 SOUND = [
     ("Title of a page", GOOD), (None, None), ("", " \n "), ("t", "In the template engine the mark {{ name }} gives way to a value, and the town hall follows it."),
@@ -99,55 +98,119 @@ SOUND = [
 ]
 
 
-def test_residue(spark):
-    rows = [(i, "h.example", t, s) for i, (t, s) in enumerate(RESIDUE + SOUND)]
-    got = {r.id for r in residue.residue_pages(pages_of(spark, rows)).collect()}
-    assert got == set(range(len(RESIDUE)))
-    assert residue.residue_pages(pages_of(spark, rows).limit(0)).count() == 0
-    assert residue.without_residue(spark.range(len(rows)), pages_of(spark, rows)).count() == len(SOUND)
+@pytest.fixture(scope="module")
+def samples(spark):
+    return spark.read.parquet(f"{ROOT}/lang_samples.parquet")
+
+
+def content(g):
+    """A sentence that no other page has."""
+    return f"O projeto {g.randrange(10**9)} da {g.choice(['rede', 'prefeitura'])} mostra que o {g.choice(['painel', 'portal'])} N{g.randrange(10**9)}x{''.join(g.choices('abcdefg', k=9))} transforma o cálculo das rotas."
+
+
+def site_pages(n=60, hosts=6):
+    """Sound pages with the same furniture on several hosts."""
+    g = random.Random(3)
+    return [(1000 + i, f"h{i % hosts}.example", f"Assunto {''.join(g.choices('abcdefgh', k=9))}", f"Home · Forum\n{content(g)}\nPlease enable JavaScript to view the comments on this page.\n© 2024 H{i % hosts}. All rights reserved.") for i in range(n)]
+
+
+def residue_of(spark, samples, rows, queue=None):
+    return {(r.id, r.kind) for r in residue.evidence(signs.line_signs(pages_of(spark, rows), samples), queue).collect()}
+
+
+def test_pages_that_tell_by_themselves(spark, samples):
+    rows = [(i, f"h{i}.example", t, s and s.replace(GOOD, content(random.Random(i)))) for i, (t, s) in enumerate(MARKED + SOUND)]
+    got = residue_of(spark, samples, rows)
+    assert {i for i, _ in got} == set(range(len(MARKED))) and {k for _, k in got} == {"placeholder", "filler"}
+    crlf = [(i, h, t, s.replace("\n", "\r\n") + " \u00a0\r\n" if s else s) for i, h, t, s in rows]
+    assert residue_of(spark, samples, crlf) == got
+    lines = signs.line_signs(pages_of(spark, rows).limit(0), samples)
+    assert residue.residue_pages(lines).count() == 0
+    sound = residue.without_residue(spark.range(len(rows)), residue.residue_pages(signs.line_signs(pages_of(spark, rows), samples)))
+    assert sound.count() == len(SOUND)
+
+
+def test_responses_by_the_evidence_of_hosts(spark, samples):
+    """No word of the response is known; what leaves pages silent on several hosts is one, what stands beside content is none."""
+    said = "Glimp vorda, the trebel is away and we do not know it (ref 12)."
+    bad = [(i, f"h{i % 4}.example", "A topic of its own", f"Home · Forum\n{said.replace('12', str(i))}\n© 2024 H{i % 4}. All rights reserved.") for i in range(8)]
+    furniture = [(50 + i, f"h{i}.example", "Another topic", f"Home · Forum\n© 2024 H{i}. All rights reserved.") for i in range(3)]
+    got = residue_of(spark, samples, site_pages() + bad + furniture)
+    assert got == {(i, "response") for i in range(8)}
+    # beside content it is none
+    both = [(i, h, t, f"{s}\n{content(random.Random(i))}") for i, h, t, s in bad]
+    assert residue_of(spark, samples, site_pages() + both + furniture) == set()
 
 
-def test_residue_with_outer_blanks(spark):
-    said = ["undefined", "[object Object]", "503", "Internal Server Error.", "Erro interno do servidor"]
-    rows = [(i, "h.example", "t", f"Menu\r\n{x}\r\n{GOOD}\r\n") for i, x in enumerate(said)]
-    rows += [(10, "h.example", "t", f"Menu\n\t \u00a0 null \u00a0\t\n{GOOD}"), (11, "h.example", "t", f"{' ' * 99}NaN{' ' * 99}\n{GOOD}"), (12, "h.example", "t", f"{GOOD}\r\n\r\n{GOOD} \r\n")]
-    assert {r.id for r in residue.residue_pages(pages_of(spark, rows)).collect()} == {*range(len(said)), 10, 11}
+def test_responses_need_less_where_scripts_are_needed_and_more_where_terms_are_shared(spark, samples):
+    bad = [(i, f"h{i}.example", "A topic of its own", "Glimp vorda trebel") for i in range(3)]
+    queue = spark.createDataFrame([(f"https://h{i}.example/{i}", True) for i in range(3)] + [(None, None)], "url string, needs_js boolean")
+    assert residue_of(spark, samples, site_pages() + bad) == set()
+    assert residue_of(spark, samples, site_pages() + bad, queue) == {(i, "response") for i in range(3)}
+    more = [(i, f"h{i % 4}.example", "A topic of its own", "Glimp vorda trebel") for i in range(8)]
+    assert len(residue_of(spark, samples, site_pages() + more)) == 8
+    related = [(i, h, f"{chr(97 + i) * 7} vorda trebel", s) for i, h, _, s in more]
+    assert residue_of(spark, samples, site_pages() + related) == set()
 
 
-def test_residue_by_evidence(spark):
-    said = "This page was blocked by its owner"
-    rows = [(i, f"h{i}.example", "A title of its own", said) for i in range(3)] + [(9, "h9.example", "A title", "This door was blocked once")]
-    rows += [(20 + i, "one.example", "A title", "The gate is blocked on Mondays") for i in range(9)]
-    assert {r.id for r in residue.residue_pages(pages_of(spark, rows)).collect()} == {0, 1, 2}
-    queue = spark.createDataFrame([("https://h0.example/0", True), (None, None)], "url string, needs_js boolean")
-    assert {r.id for r in residue.residue_pages(pages_of(spark, rows[1:3] + rows[:1]), queue).collect()} == {0, 1, 2}
-    assert {r.id for r in residue.residue_pages(pages_of(spark, rows[:2]), queue).collect()} == {0, 1}
-    assert not residue.residue_pages(pages_of(spark, rows[:2])).count()
+def test_responses_of_one_host(spark, samples):
+    """One host's evidence counts where most of its pages are otherwise sound; a host of silent pages only proves nothing."""
+    bad = [(i, "h0.example", "A topic of its own", "Glimp vorda trebel") for i in range(12)]
+    sound = [(2000 + i, "h0.example", t, s) for i, _, t, s in site_pages(40, 1)]
+    assert residue_of(spark, samples, site_pages() + sound + bad) == {(i, "response") for i in range(12)}
+    alone = [(i, "quiet.example", "A topic of its own", "Menu vorda trebel") for i in range(12)]
+    assert residue_of(spark, samples, site_pages() + alone) == set()
 
 
 # --- problem 6
 
 
-def test_repeated_lines_against_brute_force(spark):
+def fold(line):
+    import re
+
+    return re.sub("[0-9]+", "0", " ".join(line.casefold().split()))
+
+
+def test_repeated_lines_against_brute_force(spark, samples):
     g = random.Random(4)
-    stock = ["© 2024 Site. All  rights", "© 1999 SITE. ALL RIGHTS", "Share\xa0this 12", "share this 7\r", "Straße 5", "STRASSE 6", "Rare", "", "  "]
+    stock = ["© 2024 Site. All  rights", "© 1999 SITE. ALL RIGHTS", "Share\xa0this 12", "share this 7\r", "Straße 5a12", "STRASSE 6a7", "Rare", "", "  ", "…", "..", "NAMES of It"]
     rows = []
     for i in range(300):
-        rows.append((i, g.choice(["A.example", "a.example:80", "b.example", None]), None, "\n".join(g.choice(stock) for _ in range(6)) if g.random() > 0.05 else None))
+        rows.append((i, g.choice(["A.example", "a.example:80", "b.example", None]), "Rare", "\n".join(g.choice(stock) for _ in range(6)) if g.random() > 0.05 else None))
     pages = pages_of(spark, rows)
-    got = {tuple(r) for r in site_lines.repeated_lines(site_lines.hashed_lines(pages), 40).collect()}
-
-    def fold(line):
-        import re
-
-        return re.sub("[0-9]+", "0", " ".join(line.casefold().split()))
-
+    got = {tuple(r) for r in site_lines.repeated_lines(signs.line_signs(pages, samples), 40).collect()}
     hosts, seen = {"A.example": "a", "a.example:80": "a", "b.example": "b"}, {}
     lines = [(i, n, hosts.get(h, f"?{i}"), fold(x), f"{h}/{i}") for i, h, _, s in rows if s for n, x in enumerate(s.split("\n"), 1) if x.strip()]
     for _, _, h, k, u in lines:
         seen.setdefault((h, k), set()).add(u)
     assert got == {(i, n) for i, n, h, k, _ in lines if len(seen[h, k]) >= 40} and got
-    assert site_lines.repeated_lines(site_lines.hashed_lines(pages.limit(0))).count() == 0
+    assert site_lines.repeated_lines(signs.line_signs(pages.limit(0), samples)).count() == 0
+
+
+def named_pages(spark):
+    """Bylines that no two pages share, a notice that all have, and sentences of their own."""
+    g = random.Random(8)
+    name = lambda: "".join(g.choices("abcdefgh", k=6)).capitalize()
+    rows = [(i, "a.example", "t", f"Por {name()} {name()}, da redação do Site\n{content(g)}\nTodos os direitos reservados") for i in range(15)]
+    return rows + [(99, "b.example", "t", f"Por {name()} {name()}, da redação do Site"), (98, "a.example", None, None), (97, "a.example", None, "")]
+
+
+def test_clusters_remove_lines_with_changing_names(spark, samples):
+    rows = named_pages(spark)
+    pages = pages_of(spark, rows)
+    lines = signs.line_signs(pages, samples)
+    found = site_lines.clusters(lines)
+    for limit in (1000, 0):  # by broadcast and by join
+        got = {r.id: r.kept for r in site_lines.without_texts(pages, lines, found, limit).collect()}
+        want = {i: s and "\n".join(x for x in s.split("\n") if i == 99 or "projeto" in x) for i, _, _, s in rows}
+        assert got == want
+    report = sorted((r.texts, r.documents) for r in site_lines.cluster_report(found, lines).collect())
+    assert report == [(1, 15), (15, 15)]
+    # the exact lines alone leave the bylines
+    exact = {tuple(r) for r in site_lines.repeated_lines(lines).collect()}
+    assert exact == {(i, 3) for i in range(15)}
+    assert site_lines.clusters(lines.limit(0)).count() == 0
+    assert site_lines.without_texts(pages, lines, found.limit(0)).where("kept is not null").count() == 17
 
 
 def test_lines_removed(spark):
