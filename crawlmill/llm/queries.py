@@ -17,8 +17,8 @@ def _pages(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "pages")
 
 
-def _lines(spark: SparkSession, root: str) -> DataFrame:
-    return cut(signs.line_signs(_pages(spark, root), table(spark, root, "lang_samples")))
+def _lines(spark: SparkSession, root: str, sketch: bool = True) -> DataFrame:
+    return cut(signs.line_signs(_pages(spark, root), table(spark, root, "lang_samples"), sketch))
 
 
 def _sound(rows: DataFrame, lines: DataFrame, spark: SparkSession, root: str) -> DataFrame:
@@ -46,12 +46,12 @@ def p3_languages(spark: SparkSession, root: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     faults = language.language_faults(_pages(spark, root), p3_languages(spark, root))
-    return _sound(faults, _lines(spark, root), spark, root)
+    return _sound(faults, _lines(spark, root, False), spark, root)
 
 
 def p5_evidence(spark: SparkSession, root: str) -> DataFrame:
     """Kinds and scores of the evidence against every page that p5_found gives."""
-    return residue.evidence(_lines(spark, root), table(spark, root, "crawler_queue"))
+    return residue.evidence(_lines(spark, root, False), table(spark, root, "crawler_queue"))
 
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:

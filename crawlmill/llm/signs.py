@@ -85,6 +85,25 @@ def mix(x: np.ndarray, seed: int) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def places(owner: np.ndarray) -> np.ndarray:
+    """The place of each value in its run of equal owners, from 0."""
+    starts = np.flatnonzero(np.diff(owner, prepend=-1))
+    return np.arange(len(owner)) - np.repeat(starts, np.diff(starts, append=len(owner)))
+
+
+_PLACES: dict[int, np.ndarray] = {}
+
+
+def mixed_places(owner: np.ndarray, seed: int) -> np.ndarray:
+    """``mix`` of the place of each value in its run; the first ones are kept, as they recur."""
+    at = places(owner)
+    if not len(at) or at.max() >= 1 << 16:
+        return mix(at.astype(np.uint64), seed)
+    if seed not in _PLACES:
+        _PLACES[seed] = mix(np.arange(1 << 16, dtype=np.uint64), seed)
+    return _PLACES[seed][at]
+
+
 def runs(values: np.ndarray, owner: np.ndarray, n: int, how=np.add) -> np.ndarray:
     """``how`` over runs of equal, rising owners; 0 for owners without a value."""
     out = np.zeros(n, values.dtype)
@@ -108,9 +127,8 @@ def line_keys(flat: Flat) -> tuple[np.ndarray, np.ndarray]:
     if sharp.any():
         twice = 1 + sharp
         code, owner = np.repeat(np.where(sharp, ord("s"), code), twice), np.repeat(owner, twice)
-    place = (np.arange(len(owner)) - np.searchsorted(owner, owner)).astype(np.uint64)
     with np.errstate(over="ignore"):
-        return tuple(mix(runs(code * mix(place, s), owner, flat.n), s) for s in (11, 23))
+        return tuple(mix(runs(code * mixed_places(owner, s), owner, flat.n), s) for s in (11, 23))
 
 
 class Words:
@@ -126,9 +144,8 @@ class Words:
         word[1:] &= ~(digit[1:] & digit[:-1])  # a run of digits counts as one
         chars = np.flatnonzero(word)
         index = np.cumsum(begin)[chars] - 1
-        place = np.arange(len(chars)) - np.searchsorted(index, index)
         with np.errstate(over="ignore"):
-            value = np.where(digit[chars], 48, LOWER[cp[chars]]).astype(np.uint64) * mix(place.astype(np.uint64), 5)
+            value = np.where(digit[chars], 48, LOWER[cp[chars]]).astype(np.uint64) * mixed_places(index, 5)
             self.hash = runs(value, index, len(at)) + np.uint64(16)
         self.size = np.bincount(index, minlength=len(at)) if len(at) else np.zeros(0, np.int64)
         self.line = flat.line[at]
@@ -137,7 +154,7 @@ class Words:
         self.name = self.raised & LETTER[following] & ~UPPER[following]
         self.number = DIGIT[cp[at]]
         self.count = np.bincount(self.line, minlength=flat.n)
-        self.place = np.arange(len(at)) - np.searchsorted(self.line, self.line)
+        self.place = places(self.line)
 
 
 def function_words(samples: DataFrame) -> np.ndarray:
@@ -190,18 +207,19 @@ def _sketches(words: Words, plain: np.ndarray, masked: np.ndarray, n: int) -> tu
             for how in (np.minimum, np.maximum):
                 band = mix(band ^ runs(value, words.line, n, how), 3)
         bands.append((band >> np.uint64(32)).astype(np.uint32).view(np.int32))
-    third = mix(masked, 61)
-    slot = words.line.astype(np.int64) * 64 + (third >> np.uint64(58)).astype(np.int64)
-    order = np.lexsort((third, slot))
-    slot, third = slot[order], third[order]
-    least = np.flatnonzero(np.diff(slot, prepend=-1))
-    owner, bit = slot[least] // 64, np.uint64(1) << (slot[least] % 64).astype(np.uint64)
+    # one number sorts by line and bin, and within them by value
+    key = np.sort((words.line.astype(np.uint64) << np.uint64(40)) | (mix(masked, 61) >> np.uint64(24)))
+    slot = key >> np.uint64(34)
+    least = np.flatnonzero(np.diff(slot, prepend=np.uint64(2**63)))
+    owner, bit = (slot[least] >> np.uint64(6)).astype(np.int64), np.uint64(1) << (slot[least] & np.uint64(63))
     bins = runs(bit, owner, n, np.bitwise_or)
-    parity = runs(np.where(third[least] & np.uint64(1), bit, np.uint64(0)), owner, n, np.bitwise_or)
+    parity = runs(np.where(key[least] & np.uint64(1), bit, np.uint64(0)), owner, n, np.bitwise_or)
     return bands[0], bands[1], bins.view(np.int64), parity.view(np.int64)
 
 
-def signs_of(hosts: list[str], urls: list[str | None], titles: list[str | None], texts: list[str | None], function: np.ndarray) -> dict[str, np.ndarray]:
+def signs_of(
+    hosts: list[str], urls: list[str | None], titles: list[str | None], texts: list[str | None], function: np.ndarray, sketch: bool = True
+) -> dict[str, np.ndarray]:
     """Keys and flags of the non-blank lines of pages; ``text`` is the page's place in the lists and line 0 its title."""
     flat = Flat([f"{(t or '').replace(chr(10), ' ')}\n{s or ''}".replace("ß", "ss") for t, s in zip(titles, texts)])
     n, words = flat.n, Words(flat)
@@ -216,7 +234,7 @@ def signs_of(hosts: list[str], urls: list[str | None], titles: list[str | None],
     body[_known(words.hash, page, own.hash, own_page)] = _HOST
     body[words.number] = _NUMBER
     with np.errstate(over="ignore"):
-        placed = body * mix(words.place.astype(np.uint64), 17)
+        placed = body * mixed_places(words.line, 17)
     opens = words.place < OPENING
     whole = mix(runs(placed, words.line, n), 29)
     opening = mix(runs(placed[opens], words.line[opens], n), 37)
@@ -229,8 +247,9 @@ def signs_of(hosts: list[str], urls: list[str | None], titles: list[str | None],
     before = flat.cp[np.maximum(flat.last - 1, 0)]
     stops = _STOP[last] | (_CLOSING[last] & (_STOP[before] | _CLOSING[before]))
     sentence = stops & (words.count >= SENTENCE_WORDS) & (plain_words >= SENTENCE_SHARE * words.count)
-    pairs = np.unique(np.stack([words.hash, words.line.astype(np.uint64)]), axis=1)[1] if len(words.hash) else np.zeros(0, np.uint64)
-    distinct = np.bincount(pairs.astype(np.int64), minlength=n)
+    pairs = np.sort((words.line.astype(np.uint64) << np.uint64(40)) | (mix(words.hash, 71) >> np.uint64(24)))
+    first = np.diff(pairs, prepend=np.uint64(2**63)) != 0
+    distinct = np.bincount((pairs[first] >> np.uint64(40)).astype(np.int64), minlength=n)
     # a sentence or a line of repeated words without a function word in it, or the same few words over and over
     bare = plain_words == 0
     strange = bare & stops & (words.count >= 4) & ((lower >= 0.6 * words.count) | (upper == words.count))
@@ -238,26 +257,31 @@ def signs_of(hosts: list[str], urls: list[str | None], titles: list[str | None],
     filler = strange | again
     related = runs(shared.astype(np.int64), words.line, n) > 0
 
-    masked = np.where(words.name, _NAME, np.where(words.number, _NUMBER, words.hash))
-    b0, b1, bins, parity = _sketches(words, words.hash, masked, n)
+    none = np.zeros(n, np.int64)
+    b0, b1, bins, parity, k1, k2 = (none,) * 6
+    if sketch:
+        masked = np.where(words.name, _NAME, np.where(words.number, _NUMBER, words.hash))
+        b0, b1, bins, parity = _sketches(words, words.hash, masked, n)
+        k1, k2 = (k.view(np.int64) for k in line_keys(flat))
     hinted = runs(_OPENER[flat.cp].astype(np.int64), flat.line, n) > 0
     marked = np.zeros(n, bool)
     for i in np.flatnonzero(hinted):
         text = "".join(map(chr, flat.cp[flat.first[i] : flat.last[i] + 1]))
         marked[i] = bool(_PLACEHOLDER.search(text)) and not _QUOTED.match(text)
     flags = sentence * SENTENCE + marked * PLACEHOLDER + filler * FILLER + related * RELATED
-    k1, k2 = line_keys(flat)
     solid = np.flatnonzero(flat.size > 0)
     out = {
-        "text": flat.text, "line_no": flat.number - 1, "flags": flags, "k1": k1.view(np.int64), "k2": k2.view(np.int64), "body": whole.view(np.int64),
+        "text": flat.text, "line_no": flat.number - 1, "flags": flags, "k1": k1, "k2": k2, "body": whole.view(np.int64),
         "opening": opening.view(np.int64), "b0": b0, "b1": b1, "bins": bins, "parity": parity,
     }
     return {k: v[solid] for k, v in out.items()}
 
 
-def line_signs(pages: DataFrame, samples: DataFrame) -> DataFrame:
+def line_signs(pages: DataFrame, samples: DataFrame, sketch: bool = True) -> DataFrame:
     """A row of ``SCHEMA`` for every non-blank line of every page, the title as line 0.
 
+    Without ``sketch``, k1, k2, b0, b1, bins and parity are 0; evidence of residue needs none of them.
+
     k1 and k2 are a 128-bit key of the folded text; ``body`` and ``opening`` are
     keys of all and of the first words; b0 is a band of the words, and b1, bins and
     parity sketch them without names and numbers. The texts go no further than this scan.
@@ -270,7 +294,7 @@ def line_signs(pages: DataFrame, samples: DataFrame) -> DataFrame:
         for batch in batches:
             for part in steps(batch, 4):
                 hosts, urls, titles, texts = (part.column(name).to_pylist() for name in ("host", "url", "title", "summary"))
-                found = signs_of(hosts, urls, titles, texts, shared.value)
+                found = signs_of(hosts, urls, titles, texts, shared.value, sketch)
                 owner = pa.array(found["text"])
                 columns = [part.column(name).take(owner) for name in ("id", "host", "url_hash")]
                 columns += [pa.array(found[k].astype(np.int32 if k in small else np.int64)) for k in names[3:]]
