@@ -82,17 +82,19 @@ def p6_clean(spark: SparkSession, root: str) -> DataFrame:
 def p7_blocks(spark: SparkSession, root: str) -> DataFrame:
     """Probability of every non-blank line to be furniture."""
     pages = _pages(spark, root)
-    return main_content.label_blocks(pages, main_content.fit_labeller(pages))
+    return main_content.label_blocks(pages, main_content.fit_labeller(pages, _lines(spark, root)))
 
 
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
-    furniture = p7_blocks(spark, root).where("furniture >= 0.5").select("id", "line_no")
-    return _sound(furniture, spark, root)
+    pages, lines = _pages(spark, root), _lines(spark, root)
+    blocks = main_content.label_blocks(pages, main_content.fit_labeller(pages, lines))
+    return _sound(blocks.where("furniture >= 0.5").select("id", "line_no"), lines, spark, root)
 
 
 def p7_main(spark: SparkSession, root: str) -> DataFrame:
     """The main body of every page."""
-    return site_lines.without_lines(_pages(spark, root), p7_blocks(spark, root).where("furniture >= 0.5"), "main_text")
+    pages = _pages(spark, root)
+    return main_content.main_text(pages, main_content.fit_labeller(pages, _lines(spark, root)))
 
 
 def p8_ids(spark: SparkSession, root: str) -> DataFrame:

@@ -18,13 +18,15 @@ from pyspark.sql import functions as F
 from crawlmill.llm.flat import SPACES, Flat, steps
 from crawlmill.llm.lines import with_host
 
-#: Flags of a line: a sentence with function words; a placeholder; filler; shares a term with title or slug.
-SENTENCE, PLACEHOLDER, FILLER, RELATED = 1, 2, 4, 8
+#: Flags of a line: a sentence with function words; a placeholder; filler; shares a term with title or slug; an item of a list; a headline.
+SENTENCE, PLACEHOLDER, FILLER, RELATED, LISTED, HEADLINE = 1, 2, 4, 8, 16, 32
 SCHEMA = (
-    "id long, host string, url_hash long, line_no int, flags int, k1 long, k2 long, body long, opening long, b0 int, b1 int, bins long, parity long"
+    "id long, host string, url_hash long, line_no int, flags int, k1 long, k2 long, body long, opening long, lead long, b0 int, b1 int, bins long, parity long"
 )
 #: Words that a line's opening has.
 OPENING = 3
+#: Words at most of a line's lead, which stands before its first separator.
+LEAD = 4
 #: Samples read per language for the function words at most, and the share of them that a function word stands in.
 SAMPLES_PER_LANGUAGE, FUNCTION_SHARE = 2_000, 0.15
 #: Least words of a sentence, and the least share of function words in it.
@@ -73,7 +75,9 @@ LOWER = _table(_lower).astype(np.uint16)
 DIGIT = np.zeros(65536, bool)
 DIGIT[48:58] = True
 LETTER, UPPER = _table(str.isalpha), _table(str.isupper)
-_STOP, _CLOSING, _OPENER = (np.isin(np.arange(65536), [ord(c) for c in x]) for x in (".!?…", "\"'”’»“)]", "{[%#<_$@"))
+_STOP, _CLOSING, _OPENER, _SEPARATOR, _BULLET = (
+    np.isin(np.arange(65536), [ord(c) for c in x]) for x in (".!?…", "\"'”’»“)]", "{[%#<_$@", ":»>/|·", "-•*")
+)
 
 
 def mix(x: np.ndarray, seed: int) -> np.ndarray:
@@ -148,7 +152,7 @@ class Words:
             value = np.where(digit[chars], 48, LOWER[cp[chars]]).astype(np.uint64) * mixed_places(index, 5)
             self.hash = runs(value, index, len(at)) + np.uint64(16)
         self.size = np.bincount(index, minlength=len(at)) if len(at) else np.zeros(0, np.int64)
-        self.line = flat.line[at]
+        self.at, self.line = at, flat.line[at]
         following = cp[np.minimum(at + 1, len(cp) - 1)]
         self.raised = UPPER[cp[at]]
         self.name = self.raised & LETTER[following] & ~UPPER[following]
@@ -239,6 +243,16 @@ def signs_of(
     whole = mix(runs(placed, words.line, n), 29)
     opening = mix(runs(placed[opens], words.line[opens], n), 37)
 
+    # words before the first separator of a line
+    cuts = np.flatnonzero(_SEPARATOR[flat.cp])
+    first_cut = np.full(n, len(flat.cp))
+    first_cut[flat.line[cuts[::-1]]] = cuts[::-1]
+    leads = words.at < first_cut[words.line]
+    lead_words = runs(leads.astype(np.int64), words.line, n)
+    lead = mix(runs(placed[leads], words.line[leads], n), 43)
+    lead[(lead_words == 0) | (lead_words > LEAD) | (first_cut == len(flat.cp))] = 0
+    listed = _BULLET[flat.cp[flat.first]] & (flat.cp[np.minimum(flat.first + 1, len(flat.cp) - 1)] == 32)
+
     plain = np.isin(words.hash, function).astype(np.int64)
     plain_words = runs(plain, words.line, n)
     lower = runs((~words.raised & ~words.number).astype(np.int64), words.line, n)
@@ -246,7 +260,9 @@ def signs_of(
     last = flat.cp[flat.last]
     before = flat.cp[np.maximum(flat.last - 1, 0)]
     stops = _STOP[last] | (_CLOSING[last] & (_STOP[before] | _CLOSING[before]))
-    sentence = stops & (words.count >= SENTENCE_WORDS) & (plain_words >= SENTENCE_SHARE * words.count)
+    worded = (words.count >= SENTENCE_WORDS) & (plain_words >= SENTENCE_SHARE * words.count)
+    sentence = stops & worded
+    headline = ~stops & worded & (runs(words.number.astype(np.int64), words.line, n) == 0)
     pairs = np.sort((words.line.astype(np.uint64) << np.uint64(40)) | (mix(words.hash, 71) >> np.uint64(24)))
     first = np.diff(pairs, prepend=np.uint64(2**63)) != 0
     distinct = np.bincount((pairs[first] >> np.uint64(40)).astype(np.int64), minlength=n)
@@ -268,11 +284,11 @@ def signs_of(
     for i in np.flatnonzero(hinted):
         text = "".join(map(chr, flat.cp[flat.first[i] : flat.last[i] + 1]))
         marked[i] = bool(_PLACEHOLDER.search(text)) and not _QUOTED.match(text)
-    flags = sentence * SENTENCE + marked * PLACEHOLDER + filler * FILLER + related * RELATED
+    flags = sentence * SENTENCE + marked * PLACEHOLDER + filler * FILLER + related * RELATED + listed * LISTED + headline * HEADLINE
     solid = np.flatnonzero(flat.size > 0)
     out = {
         "text": flat.text, "line_no": flat.number - 1, "flags": flags, "k1": k1, "k2": k2, "body": whole.view(np.int64),
-        "opening": opening.view(np.int64), "b0": b0, "b1": b1, "bins": bins, "parity": parity,
+        "opening": opening.view(np.int64), "lead": lead.view(np.int64), "b0": b0, "b1": b1, "bins": bins, "parity": parity,
     }
     return {k: v[solid] for k, v in out.items()}
 
@@ -282,8 +298,8 @@ def line_signs(pages: DataFrame, samples: DataFrame, sketch: bool = True) -> Dat
 
     Without ``sketch``, k1, k2, b0, b1, bins and parity are 0; evidence of residue needs none of them.
 
-    k1 and k2 are a 128-bit key of the folded text; ``body`` and ``opening`` are
-    keys of all and of the first words; b0 is a band of the words, and b1, bins and
+    k1 and k2 are a 128-bit key of the folded text; ``body``, ``opening``
+    and ``lead`` are keys of all words, the first and those before a separator (0 where no short lead is); b0 is a band of the words, and b1, bins and
     parity sketch them without names and numbers. The texts go no further than this scan.
     """
     shared = pages.sparkSession.sparkContext.broadcast(function_words(samples))

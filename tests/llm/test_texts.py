@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from crawlmill.llm import encoding, flat, furniture_rules, language, main_content, packing, residue, signs, site_lines, tokens
+from crawlmill.llm import encoding, flat, language, main_content, packing, residue, signs, site_lines, tokens
 
 ROOT = "/root/testdata/sf0.001"
 PAGE = "id long, url string, domain string, title string, summary string, language string, status string"
@@ -222,19 +222,43 @@ def test_lines_removed(spark):
 # --- problem 7
 
 
-def test_furniture_rules():
-    page = "Home / News / Vola\nBy Ada Lima, Site staff\nThe university follows the water: Siva luta\nA long sentence of the article itself.\n- a list item (Moba)\nMost read\nThe town hall reviews the votes: Nera tico\n\nThe river follows the map, Sova lira\n© 2024 Site. All rights reserved."
-    assert furniture_rules.label_page(page) == [1, 1, 0, 0, 0, 1, 1, -1, 1, 1]
-    assert furniture_rules.label_page("Most read\nThe town hall reviews the votes: Nera tico\nA sentence of the text.") == [1, 0, 0]
+def furnished(n=40, hosts=4):
+    """Pages of a menu, a byline, text, a list, a sub-headline, code, related links behind a lead, a box of headlines and a notice; and their labels."""
+    g = random.Random(6)
+    name = lambda: "".join(g.choices("abcdefgh", k=7)).capitalize()
+    word = lambda: name().lower()
+    head = lambda: f"A {word()} {word()} o {word()} de {word()} com {name()}"
+    rows, labels = [], []
+    for i in range(n):
+        lines = [("Início · Fórum · Contato", 1), (f"Por {name()} {name()}, da redação", 1), (content(g), 0), (head(), 0), ("", None), (f"- o {word()} da {word()} ({name()})", 0), (f"{word()} {word()} = {word()}({i})", 0), (content(g), 0)]
+        lines += [(f"Leia também: {head()}", 1), ("Mais lidas", 1), (head(), 1), (head(), 1), (f"© {2000 + i} Todos os direitos reservados.", 1)]
+        rows.append((i, f"h{i % hosts}.example", head(), "\n".join(x for x, _ in lines)))
+        labels += [(i, k, y) for k, (_, y) in enumerate(lines, 1) if y is not None]
+    return rows, labels
 
 
-def test_labeller_on_held_out_pages(spark):
-    rows = [(r.title, r.summary) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").where("summary is not null").orderBy("id").limit(900).collect()]
-    train, held = rows[:700], rows[700:]
-    fitted = main_content.BlockLabeller().fit([t for t, _ in train], [s for _, s in train], [furniture_rules.label_page(s) for _, s in train])
-    leaves = main_content.Leaves([t for t, _ in held], [s for _, s in held])
-    want = np.array([v for _, s in held for v in furniture_rules.label_page(s) if v >= 0])
-    assert np.mean((fitted.scores(leaves) > 0) == want) > 0.97
+def test_labels_by_structure(spark, samples):
+    rows, want = furnished()
+    pages = pages_of(spark, rows)
+    lines = signs.line_signs(pages, samples)
+    drawn = pages.where("id < 10").select("id")
+    got = {(r.id, r.line_no): r.label for r in main_content.structural_labels(lines, drawn).collect()}
+    assert got == {(i, k): y for i, k, y in want if i < 10}
+    assert main_content.structural_labels(lines.limit(0), drawn).count() == 0
+
+
+def test_labeller_learns_from_structure(spark, samples):
+    rows, want = furnished(160)
+    pages = pages_of(spark, rows)
+    fitted = main_content.fit_labeller(pages.where("id < 120"), signs.line_signs(pages.where("id < 120"), samples))
+    held = pages.where("id >= 120")
+    got = {(r.id, r.line_no): r.furniture > 0.5 for r in main_content.label_blocks(held, fitted).collect()}
+    held_labels = {(i, k): y == 1 for i, k, y in want if i >= 120}
+    assert got.keys() == held_labels.keys() and np.mean([got[k] == y for k, y in held_labels.items()]) > 0.97
+    main = {r.id: r.main_text for r in main_content.main_text(held, fitted).collect()}
+    for i, _, _, text in rows[120:]:
+        assert main[i] == "\n".join(x for k, x in enumerate(text.split("\n"), 1) if not got.get((i, k), False))
+    assert main_content.fit_labeller(pages.where("id < 120"), signs.line_signs(pages.where("id < 120"), samples)) is fitted
 
 
 def test_gradient():
@@ -263,6 +287,8 @@ def test_blocks_of_odd_pages(spark):
     rows = [(1, None, None, None), (2, "h", None, ""), (3, "h", "t", " \n\r\n"), (4, "h", None, "x\n" * 3000), (5, "h", None, "word " * 20_000), (6, "h", None, "😀\n​")]
     got = main_content.label_blocks(pages_of(spark, rows), main_content.BlockLabeller()).groupBy("id").count().collect()
     assert {r.id: r["count"] for r in got} == {4: 3000, 5: 1, 6: 2}
+    main = {r.id: r.main_text for r in main_content.main_text(pages_of(spark, rows), main_content.BlockLabeller(), 2.0).collect()}
+    assert main == {i: s for i, _, _, s in rows}
 
 
 # --- problem 8
