@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from crawlmill.operators.skew import salted_join
 from crawlmill.session import cut
 
 #: Rows that one step of the posting gives at most, so memory follows the step and not the lists searched.
@@ -26,7 +27,10 @@ ROWS_OUT = 200_000
 
 @dataclass(frozen=True)
 class KnnSettings:
-    """``sample`` vectors at most fit at most ``most_lists`` centroids (16,384 x 64 floats are 4 MB).
+    """``sample`` vectors at most fit one centroid for every ``list_size`` vectors, at most ``most_lists`` (with their graph 25 MB).
+
+    Lists grow beyond ``list_size`` from most_lists x list_size = 17 million vectors on,
+    and are cut into blocks from most_lists x block = 268 million on.
 
     With a ``recall``, ``probes`` is only the least number of lists: as many are
     searched as ``probes_for`` finds to be needed for it.
@@ -35,8 +39,8 @@ class KnnSettings:
     dim: int = 64
     k: int = 10
     list_size: int = 256
-    sample: int = 20_000
-    most_lists: int = 16_384
+    sample: int = 262_144
+    most_lists: int = 65_536
     rounds: int = 8
     degree: int = 32
     replicas: int = 3
@@ -101,6 +105,27 @@ def fit_centroids(x: np.ndarray, k: int, rounds: int, seed: int = 1) -> np.ndarr
     return c.astype(np.float32)
 
 
+def fit_tree(x: np.ndarray, k: int, rounds: int, fan: int = 256) -> np.ndarray:
+    """Unit centroids as of ``fit_centroids``; beyond 4 x ``fan`` of them in two levels, so the work grows with their number and not its square."""
+    if k <= 4 * fan:
+        return fit_centroids(x, k, rounds)
+    coarse = fit_centroids(x[:: max(1, len(x) // (64 * fan))], fan, rounds)
+    cell = np.concatenate([(x[i : i + 4096] @ coarse.T).argmax(1) for i in range(0, len(x), 4096)])
+    parts = [x[cell == i] for i in range(fan)]
+    return np.concatenate([fit_centroids(own, max(1, round(k * len(own) / len(x))), rounds, i) for i, own in enumerate(parts) if len(own)])
+
+
+def _nearest(sims: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the ``k`` largest values of each row, largest first."""
+    k = min(k, sims.shape[1])
+    near = np.argpartition(-sims, k - 1, 1)[:, :k]
+    return np.take_along_axis(near, np.argsort(-np.take_along_axis(sims, near, 1), 1, kind="stable"), 1)
+
+
+#: Vectors of the sample for each centroid.
+SAMPLE_PER_LIST = 4
+
+
 class CentroidGraph:
     """Nearest-neighbour graph over the centroids, and its search."""
 
@@ -109,7 +134,7 @@ class CentroidGraph:
         if links is None:
             d = min(degree, len(centroids))
             links = np.concatenate(
-                [np.argsort(-(centroids[i : i + 1024] @ centroids.T), 1)[:, :d] for i in range(0, len(centroids), 1024)]
+                [_nearest(centroids[i : i + 1024] @ centroids.T, d) for i in range(0, len(centroids), 1024)]
             ).astype(np.int32)
         self.links = links  # a centroid is its own first neighbour
         # a walk begins at the nearest of about 2 * sqrt(n) entries, so it need not cross gaps between clusters
@@ -132,10 +157,7 @@ class CentroidGraph:
 
     def _all(self, x: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
         sims = x @ self.c.T
-        k = min(probes, len(self.c))
-        near = np.argpartition(-sims, k - 1, 1)[:, :k]
-        order = np.argsort(-np.take_along_axis(sims, near, 1), 1, kind="stable")
-        near = np.take_along_axis(near, order, 1)
+        near = _nearest(sims, probes)
         return near, np.take_along_axis(sims, near, 1).astype(np.float32)
 
     def _walk(self, x: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -164,21 +186,24 @@ class CentroidGraph:
 
 
 def fit_graph(vectors: DataFrame, s: KnnSettings, rows: int) -> tuple[CentroidGraph, KnnSettings]:
-    """Centroids of a random sample of at most ``s.sample`` vectors, one per ``s.list_size`` rows, and ``s`` with the probes to use.
+    """Centroids of a random sample, one per ``s.list_size`` rows, and ``s`` with the probes to use.
 
-    For a ``recall`` as many vectors again are drawn, which the centroids do not know.
+    The sample has ``SAMPLE_PER_LIST`` vectors for each list, at least a tenth of ``s.sample``
+    and at most all of it. For a ``recall`` as many vectors again are drawn, at most a
+    tenth of ``s.sample``, which the centroids do not know.
     """
-    wanted = s.sample * (2 if s.recall else 1)
-    drawn = vectors.select("vec").sample(min(1.0, 1.05 * wanted / max(1, rows)), 9).limit(wanted).collect()
+    lists = min(s.most_lists, max(1, -(-rows // s.list_size)))
+    size = min(s.sample, max(SAMPLE_PER_LIST * lists, s.sample // 10))
+    unknown = min(size, s.sample // 10) if s.recall else 0
+    drawn = vectors.select("vec").sample(min(1.0, 1.05 * (size + unknown) / max(1, rows)), 9).limit(size + unknown).collect()
     x = np.frombuffer(b"".join(r[0] for r in drawn), np.float32).reshape(-1, s.dim)
     if s.recall:
         x = x[np.random.default_rng(2).permutation(len(x))]
-    fitted = x[: s.sample]
-    lists = min(s.most_lists, max(1, -(-rows // s.list_size)), max(1, len(fitted) // 4))
-    graph = CentroidGraph(fit_centroids(fitted, lists, s.rounds), s.degree)
+    fitted, held = x[:size], x[size:]
+    graph = CentroidGraph(fit_tree(fitted, min(lists, max(1, len(fitted) // SAMPLE_PER_LIST)), s.rounds), s.degree)
     if s.recall:
         # with less than half as many unknown vectors the lists are long, and known ones tell as much
-        s = replace(s, probes=max(s.probes, probes_for(graph, x[s.sample :] if len(x) >= 1.5 * s.sample else x, s)))
+        s = replace(s, probes=max(s.probes, probes_for(graph, held if len(held) >= unknown / 2 and len(held) else x[: s.sample // 10], s)))
     return graph, s
 
 
@@ -210,7 +235,7 @@ def probes_for(graph: CentroidGraph, x: np.ndarray, s: KnnSettings, queries: int
 
 
 def _postings(vectors: DataFrame, graph: CentroidGraph, s: KnnSettings) -> DataFrame:
-    """(list, id, vec, member, query): one row for each list a vector is stored in or looked up in."""
+    """(list, id, vec, copied, member, query): one row for each list a vector is stored in or looked up in."""
     shared = vectors.sparkSession.sparkContext.broadcast((graph.c, graph.links))
 
     def posted(own: CentroidGraph, batch: pa.RecordBatch, rows: np.ndarray, probes: int) -> pa.RecordBatch:
@@ -229,10 +254,11 @@ def _postings(vectors: DataFrame, graph: CentroidGraph, s: KnnSettings) -> DataF
                 pa.array(lists[row, col], pa.int32()),
                 batch.column(0).take(at),
                 batch.column(1).take(at),
+                batch.column(3).take(at),
                 pa.array(member[row, col]),
                 pa.array(query[row, col]),
             ],
-            ["list", "id", "vec", "member", "query"],
+            ["list", "id", "vec", "copied", "member", "query"],
         )
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,15 +271,16 @@ def _postings(vectors: DataFrame, graph: CentroidGraph, s: KnnSettings) -> DataF
                 for i in range(0, len(rows), step):
                     yield posted(own, batch, rows[i : i + step], probes)
 
-    return vectors.select("id", "vec", "query").mapInArrow(spread, "list int, id long, vec binary, member boolean, query boolean")
+    schema = "list int, id long, vec binary, copied boolean, member boolean, query boolean"
+    return vectors.select("id", "vec", "query", "copied").mapInArrow(spread, schema)
 
 
 def _search(s: KnnSettings):
     def run(table: pa.Table) -> pa.Table:
         ids, x = table.column("id").to_numpy(), _vectors(table.column("vec"), s.dim)
         member, query = table.column("member").to_numpy(), table.column("query").to_numpy()
-        m_ids, m = ids[member], x[member]
-        out_q, out_n, out_s = [], [], []
+        m_ids, m, m_copied = ids[member], x[member], table.column("copied").to_numpy()[member]
+        out_q, out_n, out_s, out_c = [], [], [], []
         if len(m):
             k = min(s.k, len(m))
             for i in range(0, int(query.sum()), 512):
@@ -266,8 +293,9 @@ def _search(s: KnnSettings):
                 out_q.append(q_ids[r])
                 out_n.append(m_ids[top[r, c]])
                 out_s.append(best[r, c])
+                out_c.append(m_copied[top[r, c]])
         join = lambda a, t: pa.array(np.concatenate(a) if a else np.zeros(0), t)
-        return pa.table({"id": join(out_q, pa.int64()), "other": join(out_n, pa.int64()), "similarity": join(out_s, pa.float32())})
+        return pa.table({"id": join(out_q, pa.int64()), "other": join(out_n, pa.int64()), "similarity": join(out_s, pa.float32()), "copied": join(out_c, pa.bool_())})
 
     return run
 
@@ -292,17 +320,22 @@ def neighbours(vectors: DataFrame, s: KnnSettings = KnnSettings(), queries: str
     whole = Window.partitionBy("k1", "k2").orderBy("id")
     groups = keyed.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
     copies = cut(
-        keyed.join(groups, ["k1", "k2"]).select("id", "rep", "k1", "k2", F.pmod(F.xxhash64("id"), F.lit(64)).alias("part"))
+        salted_join(keyed, groups, ["k1", "k2"], "n").select("id", "rep", "n", "k1", "k2", F.pmod(F.xxhash64("id"), F.lit(64)).alias("part"))
     )
     lowest = (
         copies.withColumn("r", F.row_number().over(part)).where(F.col("r") <= s.k + 1)
         .withColumn("r", F.row_number().over(whole)).where(F.col("r") <= s.k + 1)
-        .select("rep", F.col("id").alias("copy"))
+        .groupBy("rep").agg(F.first("n").alias("n"), F.collect_list("id").alias("copies"))  # k + 1 at most
     )
+    lowest = cut(lowest)
 
-    wanted = copies.where(queries).select(F.col("rep").alias("id")).distinct().withColumn("_copied", F.lit(True))
+    owners = copies.where(queries).select(F.col("id").alias("owner"), "rep")
+    wanted = owners.groupBy("rep").agg(F.count(F.lit(1)).alias("owners"))
+    reps = lowest.join(wanted, "rep", "left").select(F.col("rep").alias("id"), F.lit(True).alias("copied"), F.col("owners").isNotNull().alias("wanted"))
     singles = vectors.join(copies.where("id <> rep").select("id"), "id", "left_anti")
-    asked = singles.join(wanted, "id", "left").select("id", "vec", (F.expr(queries) | F.col("_copied").isNotNull()).alias("query"))
+    asked = singles.join(reps, "id", "left").select(
+        "id", "vec", F.coalesce("copied", F.lit(False)).alias("copied"), (F.expr(queries) | F.coalesce("wanted", F.lit(False))).alias("query")
+    )
     posted = _postings(asked, graph, s)
 
     # a list larger than a block is cut into blocks; its queries visit all of them
@@ -313,29 +346,33 @@ def neighbours(vectors: DataFrame, s: KnnSettings = KnnSettings(), queries: str
     placed = blocked.withColumn(
         "block", F.explode(F.when(F.col("query"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(home)))
     ).withColumn("member", F.col("member") & (F.col("block") == home))
-    found = placed.select("list", "block", "id", "vec", "member", "query").groupBy("list", "block").applyInArrow(
-        _search(s), "id long, other long, similarity float"
+    found = placed.select("list", "block", "id", "vec", "copied", "member", "query").groupBy("list", "block").applyInArrow(
+        _search(s), "id long, other long, similarity float, copied boolean"
     )
 
     best = Window.partitionBy("id").orderBy(F.desc("similarity"), "other")
-    distinct = found.groupBy("id", "other").agg(F.max("similarity").alias("similarity"))
-    between = distinct.withColumn("r", F.row_number().over(best)).where(F.col("r") <= s.k).drop("r")
+    distinct = found.groupBy("id", "other").agg(F.max("similarity").alias("similarity"), F.max("copied").alias("copied"))
+    between = cut(distinct.withColumn("r", F.row_number().over(best)).where(F.col("r") <= s.k).drop("r"))
 
     # back from vectors to their copies: k + 1 of each, so at most k * (k + 1) candidates a row
-    targets = between.join(lowest, between["other"] == lowest["rep"], "left").select(
-        "id", F.coalesce("copy", "other").alias("other"), "similarity"
-    )
-    owners = copies.where(queries).select(F.col("id").alias("owner"), "rep")
-    spread = targets.join(owners, targets["id"] == owners["rep"], "left").select(
-        F.coalesce("owner", "id").alias("id"), "other", "similarity"
-    )
-    among = owners.join(lowest, "rep").where("owner <> copy").select(
-        F.col("owner").alias("id"), F.col("copy").alias("other"), F.lit(1.0).cast("float").alias("similarity")
-    )
+    met = between.where("copied").groupBy("other").agg(F.count(F.lit(1)).alias("n"))
+    known = met.join(lowest.select(F.col("rep").alias("other"), "copies"), "other")
+    widened = salted_join(between.where("copied"), known, ["other"], "n").select("id", F.explode("copies").alias("other"), "similarity")
+    targets = between.where("not copied").select("id", "other", "similarity").unionByName(widened)
+    nearest = Window.partitionBy("id").orderBy(F.desc("similarity"), "other")
+    targets = cut(targets.withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= s.k).drop("r"))
+
+    # what a vector found goes to all its owners, with its copies as the nearest; one row a vector, so owners of one are split
+    itself = lowest.select("rep", F.explode("copies").alias("other"), F.lit(1.0).cast("float").alias("similarity"))
+    beyond = targets.join(wanted.withColumnRenamed("rep", "id"), "id", "left_semi").select(F.col("id").alias("rep"), "other", "similarity")
+    each = F.collect_list(F.struct("other", "similarity")).alias("near")
+    given = itself.unionByName(beyond).groupBy("rep").agg(each).join(wanted, "rep")
+    shared = salted_join(owners, given, ["rep"], "owners").select(F.col("owner").alias("id"), F.explode("near").alias("x"))
+    copied = shared.select("id", "x.*").where("id <> other")
+    own = targets.join(wanted.withColumnRenamed("rep", "id"), "id", "left_anti")
     last = Window.partitionBy("id").orderBy(F.desc("similarity"), "other")
-    return (
-        spread.unionByName(among).withColumn("r", F.row_number().over(last)).where(F.col("r") <= s.k).drop("r").where(queries)
-    )
+    ranked = copied.withColumn("r", F.row_number().over(last)).where(F.col("r") <= s.k).drop("r")
+    return own.unionByName(ranked).where(queries).select("id", "other", "similarity")
 
 
 def similar_pairs(found: DataFrame, least: float) -> DataFrame:
