@@ -28,9 +28,22 @@ BLOCK_TAGS = ("h1", "h2", "h3", "p", "li")
 ROBOT_AGENTS = ("*", "Googlebot")
 
 
+# Names of settings in the environment that are not those of the fields.
+ENVIRONMENT = {
+    "excluded_domains": ("EXCLUDED_QUEUE_DOMAINS",),
+    "max_url_length": ("MAX_QUEUE_URL_LENGTH",),
+    "max_external_per_domain": ("MAX_LINKS_PER_DOMAIN_PER_PAGE",),
+    "max_internal_links": ("MAX_INTERNAL_LINKS_PER_PAGE",),
+    "external_priority": ("EXTERNAL_LINK_PRIORITY",),
+    "internal_priority": ("INTERNAL_LINK_PRIORITY",),
+    "concurrency": ("CONCURRENT_REQUESTS", "CRAWLER_CONCURRENCY"),
+    "batch_size": ("CRAWLER_BATCH_SIZE",),
+}
+
+
 @dataclass(frozen=True)
 class CrawlConfig:
-    """Frozen settings; ``from_env`` reads the upper-case names from the environment."""
+    """Frozen settings; ``from_env`` reads ``ENVIRONMENT`` and else the upper-case names of the fields."""
 
     max_depth: int = 3
     max_url_length: int = 1800
@@ -57,11 +70,13 @@ class CrawlConfig:
         env = dict(os.environ) if env is None else env
         given: dict = {}
         for f in fields(cls):
-            raw = env.get(f.name.upper())
+            names = (*ENVIRONMENT.get(f.name, ()), f.name.upper())
+            raw = next((env[n] for n in names if n in env), None)
             if raw is None:
                 continue
             read = csv_set if f.name in ("excluded_domains", "tracking_hosts") else truthy if f.name.startswith("playwright") else int
             given[f.name] = read(raw)
+        given.setdefault("batch_size", max(cls.batch_size, 2 * given.get("concurrency", cls.concurrency)))
         return cls(**given)
 
 

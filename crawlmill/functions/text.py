@@ -33,10 +33,10 @@ def error_code(error: Column) -> Column:
 
 
 def duration(seconds: Column) -> Column:
-    """``12.3s`` below a minute, ``2m05s`` from there on."""
+    """``12.3s`` below a minute, ``2m05s`` from there on; null for null."""
     minutes = F.floor(seconds / 60).cast("long")
     rest = F.floor(seconds % 60).cast("long")
-    return F.when(seconds < 60, F.format_string("%.1fs", seconds.cast("double"))).otherwise(F.format_string("%dm%02ds", minutes, rest))
+    return F.when(seconds < 60, F.format_string("%.1fs", seconds.cast("double"))).when(seconds >= 60, F.format_string("%dm%02ds", minutes, rest))
 
 
 def unit(vector: Column) -> Column:

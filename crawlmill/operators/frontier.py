@@ -121,6 +121,23 @@ def numbered(rows: DataFrame, key: str, order: str, known: str) -> DataFrame:
     return rows.where(~is_new).unionByName(given.select(*rows.columns))
 
 
+def in_chunks(rows: DataFrame, group: str, order: list[str], size: int) -> DataFrame:
+    """``rows`` with ``chunk``: each group in its order cut into chunks of ``size``.
+
+    Rows are ranged by group and order over the tasks and written; a row's place is
+    the one within its range plus the group's rows in the ranges before, so a group
+    with a third of all rows is spread over as many tasks as it fills.
+    """
+    ranged = cut(rows.repartitionByRange(group, *order).withColumn("_range", F.spark_partition_id()))
+    before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy(group, "_range").agg(F.count(F.lit(1)).alias("_n"))  # of a group a row per task
+    offsets = sizes.select(F.col(group).alias("_group"), "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_range", group).orderBy(*order))
+    own = ranged.withColumn("_within", within).join(offsets, ["_range"]).where(F.col(group).eqNullSafe(F.col("_group")))
+    chunk = F.floor((F.col("_before") + F.col("_within") - 1) / size).alias("chunk")
+    return own.select(*rows.columns, chunk)
+
+
 def after_results(queue: DataFrame, results: DataFrame) -> DataFrame:
     """The queue after a batch: (item_id, ok, error, needs_js) of processed rows.
 
@@ -156,10 +173,11 @@ def reactivated(queue: DataFrame, seeds: DataFrame, batch_ts: Column) -> DataFra
     return upserted(queue, incoming, batch_ts, guarded=False)
 
 
-def reclaimed(queue: DataFrame, older_than: Column) -> DataFrame:
-    """Extension: rows left processing since before ``older_than`` are pending again."""
+def reclaimed(queue: DataFrame, older_than: Column, most_attempts: int | None = None) -> DataFrame:
+    """Extension: rows left processing since before ``older_than`` are pending again, or failed after ``most_attempts``."""
     stuck = (F.col("status") == "processing") & (F.col("last_attempt_at") < older_than)
-    return queue.withColumn("status", F.when(stuck, "pending").otherwise(F.col("status")))
+    spent = F.lit(False) if most_attempts is None else F.coalesce(F.col("attempts") >= most_attempts, F.lit(False))
+    return queue.withColumn("status", F.when(stuck & spent, "failed").when(stuck, "pending").otherwise(F.col("status")))
 
 
 def classified(attempts: DataFrame) -> DataFrame:

@@ -100,8 +100,11 @@ def epoch(tables: dict[str, DataFrame], corpus: DataFrame, batch_ts: Column, con
 def crawl(store: SnapshotStore, corpus: DataFrame, seeds: DataFrame, batch_ts: Column, epochs: int, config: CrawlConfig = CrawlConfig(), browser: bool = False, robots: DataFrame | None = None) -> int:
     """Runs epochs until nothing is pending or ``epochs`` is reached; an idle queue is seeded once. Epochs run.
 
-    Seeds without a host or of a host at the page cap are left out.
+    Seeds get the host of their address where they have no column for it. Seeds
+    without a host or of a host at the page cap are left out.
     """
+    if "domain" not in seeds.columns:
+        seeds = seeds.withColumn("domain", domain_of(F.col("url")))
     names, seeded = ("crawler_queue", "pages", "page_links", "domain_rules"), False
     for done in range(epochs):
         tables = {n: store.read(n) for n in names}

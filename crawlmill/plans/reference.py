@@ -437,8 +437,7 @@ def truncate_text(spark, root):
 
 @query("select id, cast((row_number() over (partition by domain order by url, id) - 1) // 250 as bigint) as chunk from pages")
 def chunk_rows(spark, root):
-    order = Window.partitionBy("domain").orderBy("url", "id")
-    return table(spark, root, "pages").select("id", F.floor((F.row_number().over(order) - 1) / 250).alias("chunk"))
+    return frontier.in_chunks(table(spark, root, "pages").select("id", "domain", "url"), "domain", ["url", "id"], 250).select("id", "chunk")
 
 
 _LINES = f"""(select id, title, list_filter(list_transform(string_split(coalesce(summary, ''), chr(10)),
@@ -479,6 +478,64 @@ def embed_backfill(spark, root):
     return records.embeddings_written(pages, vectors, _ts()).select("id", "embedding", "language", "updated_at")
 
 
+_PENDING = "(status = 'indexed' and embedding is null and summary is not null and summary <> '')"
+
+
+@query(
+    f"""select id, embedding is not null or coalesce({_PENDING}, false) as embedded, case when not coalesce({_PENDING}, false) then language end as language,
+      case when {_PENDING} then timestamptz '{BATCH_TS}+00' else updated_at end as updated_at from {_P}"""
+)
+def embed_backfill_fields(spark, root):
+    """What a backfill changes beside the vectors."""
+    return embed_backfill(spark, root).select("id", F.col("embedding").isNotNull().alias("embedded"), "language", "updated_at")
+
+
+@query(
+    """select doc_id, case when n_chars / 10 < 60 then printf('%.1fs', n_chars / 10)
+      else printf('%dm%02ds', (n_chars // 600)::bigint, (n_chars % 600 // 10)::bigint) end as took from documents"""
+)
+def durations(spark, root):
+    """Tenths of a second as the progress report writes them; lengths of texts stand in for times."""
+    return table(spark, root, "documents").select("doc_id", text.duration(F.col("n_chars") / 10).alias("took"))
+
+
+_SHARED = [(d, p) for d, p in urls.SHARE_PATHS]
+_SHARE_HOST = "list_extract([{}], (id % {} + 1)::int)".format(", ".join(f"'{d}'" for d, _ in _SHARED), len(_SHARED))
+_SHARE_PATH = "list_extract([{}], (id // 3 % {} + 1)::int)".format(", ".join(f"'{p}'" for _, p in _SHARED), len(_SHARED))
+_IS_SHARED = " or ".join(f"((host = '{d}' or host like '%.{d}') and starts_with(lower(path), '{p}'))" for d, p in _SHARED)
+
+
+@query(
+    f"""select id, coalesce({_IS_SHARED}, false) as share from (select id, case id % 5 when 0 then domain when 1 then 'www.' || {_SHARE_HOST} when 2 then 'x' || {_SHARE_HOST}
+        else {_SHARE_HOST} end as host, (case id % 2 when 0 then upper({_SHARE_PATH}) else {_SHARE_PATH} end) || id as path from pages) t"""
+)
+def share_links(spark, root):
+    """Share links by host and path; hosts and paths of the list are mixed by the page's id, so that some fit and some do not."""
+    n, i = len(_SHARED), F.col("id")
+    host = F.element_at(F.array(*[F.lit(d) for d, _ in _SHARED]), (i % n + 1).cast("int"))
+    path = F.element_at(F.array(*[F.lit(p) for _, p in _SHARED]), (F.floor(i / 3) % n + 1).cast("int"))
+    own = F.when(i % 5 == 0, F.col("domain")).when(i % 5 == 1, F.concat(F.lit("www."), host)).when(i % 5 == 2, F.concat(F.lit("x"), host)).otherwise(host)
+    made = table(spark, root, "pages").select("id", own.alias("host"), F.concat(F.when(i % 2 == 0, F.upper(path)).otherwise(path), i.cast("string")).alias("path"))
+    return made.select("id", F.coalesce(urls.is_share_link(F.col("host"), F.col("path")), F.lit(False)).alias("share"))
+
+
+_HREF_HEADS = ("", "#", "mailto:", "MAILTO:", "javascript:", "tel:", " #", "  tel:", "/", "ftp:")
+_SKIPPED = " or ".join(f"starts_with(trim(href), '{p}')" for p in urls.SKIPPED_HREFS)
+
+
+@query(
+    "select id, coalesce(trim(href) = '' or {}, true) as skipped from (select id, case when id % 11 = 0 then '  ' else list_extract([{}], (id % {} + 1)::int) || url end as href from pages) t".format(
+        _SKIPPED, ", ".join(f"'{h}'" for h in _HREF_HEADS), len(_HREF_HEADS)
+    )
+)
+def skipped_hrefs(spark, root):
+    """Links skipped by their beginning, which is put before each page's address by its id."""
+    i = F.col("id")
+    head = F.element_at(F.array(*[F.lit(h) for h in _HREF_HEADS]), (i % len(_HREF_HEADS) + 1).cast("int"))
+    made = table(spark, root, "pages").select("id", F.when(i % 11 == 0, "  ").otherwise(F.concat(head, "url")).alias("href"))
+    return made.select("id", urls.is_skipped_href(F.col("href")).alias("skipped"))
+
+
 @query(
     """select 100.0::double * done / total as pct, done / 12.5 as rate, total - done as remaining, (total - done) / (done / 12.5) as eta_s
     from (select count(*) as total, cast(count(embedding) as double) as done from pages)"""

@@ -98,6 +98,13 @@ def test_seeds_of_full_hosts_stay_out(spark, tmp_path):
     assert [r.url for r in store.read("crawler_queue").collect()] == ["https://n.example/"]
 
 
+def test_seeds_of_the_given_table(spark, tmp_path):
+    store = fresh_store(spark, tmp_path)
+    store.commit({"crawler_queue": spark.createDataFrame([], QUEUE)})
+    crawl.crawl(store, site(spark), spark.read.parquet("/root/testdata/sf0.001/crawler_seeds.parquet"), ts(), 1)
+    assert store.read("crawler_queue").where("status = 'pending' and domain <> ''").count() > 30
+
+
 def test_browser_falls_back_to_pending(spark, tmp_path):
     store = fresh_store(spark, tmp_path)
     crawl.crawl(store, site(spark), rows_of_seeds(spark), ts(), 1, CrawlConfig.from_env({"PLAYWRIGHT_FALLBACK_TO_PENDING": "true"}), browser=True)

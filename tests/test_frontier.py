@@ -164,3 +164,31 @@ def test_figures(spark):
         *metrics.progress(F.lit(0.0), F.lit(0), F.lit(0.0)),
     ).first()
     assert (row.a, row.b, row.c, row.pct, row.eta_s) == (2, 1.0, 5.0, 100.0, 0.0)
+
+
+def test_chunks_of_groups(spark):
+    rows = [(i, "hot" if i % 3 else (None if i % 2 else f"d{i % 7}"), f"u{(i * 37) % 101}") for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, domain string, url string").withColumn("_x", F.lit(1))
+    got = {r.id: r.chunk for r in frontier.in_chunks(df, "domain", ["url", "id"], 7).collect()}
+    want = {}
+    for d in {r[1] for r in rows}:
+        for k, r in enumerate(sorted((r for r in rows if r[1] == d), key=lambda r: (r[2], r[0]))):
+            want[r[0]] = k // 7
+    assert got == want
+    assert frontier.in_chunks(df.limit(0), "domain", ["url", "id"], 7).count() == 0
+
+
+def test_stuck_rows_fail_after_too_many_attempts(spark):
+    old = spark.createDataFrame([(1, "processing", 1), (2, "processing", 5), (3, "processing", None), (4, "done", 9)], "id long, status string, attempts int")
+    old = old.withColumn("last_attempt_at", F.timestamp_seconds(F.lit(0)))
+    now = F.timestamp_seconds(F.lit(10))
+    assert {r.id: r.status for r in frontier.reclaimed(old, now, 5).collect()} == {1: "pending", 2: "failed", 3: "pending", 4: "done"}
+    assert {r.id: r.status for r in frontier.reclaimed(old, now).collect()} == {1: "pending", 2: "pending", 3: "pending", 4: "done"}
+
+
+def test_settings_by_their_names():
+    from crawlmill.config import CrawlConfig
+
+    c = CrawlConfig.from_env({"EXCLUDED_QUEUE_DOMAINS": "A.b, c", "MAX_QUEUE_URL_LENGTH": "9", "MAX_LINKS_PER_DOMAIN_PER_PAGE": "4", "MAX_INTERNAL_LINKS_PER_PAGE": "5", "CONCURRENT_REQUESTS": "50"})
+    assert (c.excluded_domains, c.max_url_length, c.max_external_per_domain, c.max_internal_links, c.concurrency, c.batch_size) == (("a.b", "c"), 9, 4, 5, 50, 100)
+    assert CrawlConfig.from_env({}).batch_size == 40 and CrawlConfig.from_env({"CRAWLER_BATCH_SIZE": "7"}).batch_size == 7

@@ -1,13 +1,16 @@
 import random
+import types
 from collections import Counter
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from crawlmill.functions.urls import canonical_url, host_of
 from crawlmill.operators import heavy_keys as hk
 from crawlmill.operators import orphans
-from crawlmill.operators.skew import salted_semi_join
+from crawlmill import session
+from crawlmill.operators.skew import salted_join, salted_semi_join
 
 
 def test_eager_aggregation_equals_join(spark):
@@ -89,3 +92,25 @@ def test_salted_semi_join(spark):
     for part in (50, 10_000):
         assert sorted(r.n for r in salted_semi_join(rows, keys, ["k"], "c", part).collect()) == list(range(600))
     assert salted_semi_join(rows, keys.limit(0), ["k"], "c").count() == 0
+
+
+def test_salted_join_keeps_the_keys_columns(spark):
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(300)] + [(999, None)], "id long, k string")
+    keys = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("k = 'hot' or k < 'k2'").withColumn("more", F.concat("k", F.lit("!")))
+    want = sorted((r.id, r.k, r.k + "!") for r in rows.join(keys.select("k"), "k").collect())
+    for part in (10, 10_000):
+        assert sorted((r.id, r.k, r.more) for r in salted_join(rows, keys, ["k"], "n", part).collect()) == want
+
+
+def test_cuts_need_shared_storage_on_a_cluster(spark):
+    def on(master, folder=None):
+        context = types.SimpleNamespace(master=master, getCheckpointDir=lambda: None)
+        conf = types.SimpleNamespace(get=lambda name, default: folder, set=lambda name, value: None)
+        return types.SimpleNamespace(sparkContext=context, conf=conf)
+
+    with pytest.raises(ValueError):
+        session.shared_dir(on("spark://host:7077"))
+    with pytest.raises(ValueError):
+        session.shared_dir(on("local-cluster[2,1,1024]"))
+    assert session.shared_dir(on("yarn", "hdfs://shared/")) == "hdfs://shared"
+    assert session.shared_dir(on("local[4]")).startswith("file://")
