@@ -66,6 +66,11 @@ def p6_found(spark: SparkSession, root: str) -> DataFrame:
     return site_lines.repeated_lines(_sound_lines(_lines(spark, root), spark, root))
 
 
+def p6_repeated(spark: SparkSession, root: str) -> DataFrame:
+    """Lines repeated over their site as of p6_found, pages with residue counted and given too."""
+    return site_lines.repeated_lines(_lines(spark, root))
+
+
 def p6_clusters(spark: SparkSession, root: str) -> DataFrame:
     """Clusters of like lines on ten documents of a site or more."""
     lines = _sound_lines(_lines(spark, root), spark, root)
@@ -137,12 +142,21 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_evidence": p5_evidence,
     "p6_found": p6_found,
+    "p6_repeated": p6_repeated,
     "p6_clusters": p6_clusters,
     "p6_clean": p6_clean,
 }
 
-#: Exact neighbours by comparing all pairs; for the small tables of the SQL check only.
+_HOST = r"regexp_replace(regexp_replace(regexp_replace(lower(trim(domain)), '^.*@', ''), ':[0-9]*$', ''), '\.$', '')"
+_SPACE = r"[\t\r\f\v \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+#: p2_found compares all pairs; for the small tables of the SQL check only.
 SQL: dict[str, str] = {
+    "p6_repeated": f"""
+        with l as (select id, coalesce(url, '') as u, coalesce({_HOST}, '?' || url, '?') as h, unnest(string_split(summary, chr(10))) as line,
+            generate_subscripts(string_split(summary, chr(10)), 1)::int as line_no from pages where summary is not null),
+        f as (select id, u, h, line_no, regexp_replace(trim(regexp_replace(replace(lower(line), 'ß', 'ss'), '{_SPACE}', ' ', 'g')), '[0-9]+', '0', 'g') as t from l)
+        select id, line_no from f where t <> '' and (h, t) in (select (h, t) from f group by h, t having count(distinct u) >= 10)""",
     "p2_found": """
         with v as (select id, list_transform(embedding, lambda x: x::double) as e from pages
           where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
