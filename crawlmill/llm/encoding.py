@@ -36,8 +36,8 @@ LEFT_COST = 2
 NEW_COST = 1
 #: Steps of a chain, and how many of them may read bytes by another codec than UTF-8.
 DEPTH, OTHER_STEPS = 3, 1
-#: Spans that are remembered at once.
-KNOWN_SPANS = 200_000
+#: Spans, and chains of spans, that a task remembers at once; what is forgotten is worked out again.
+KNOWN_SPANS, KNOWN_CHAINS = 200_000, 500_000
 
 # Codecs that text is wrongly read with.
 SINGLE_BYTE = (
@@ -213,13 +213,15 @@ class Restorer:
     def __init__(self, lengths: Lengths):
         self.lengths = lengths
         self.spans: dict[str, dict[Chain, int]] = {}
+        self.held = 0
 
     def gaining(self, span: str) -> dict[Chain, int]:
         """All chains within the depth that make ``span`` shorter in some language, and by how many bytes at most."""
         if span in self.spans:
             return self.spans[span]
-        if len(self.spans) > KNOWN_SPANS:
+        if len(self.spans) > KNOWN_SPANS or self.held > KNOWN_CHAINS:
             self.spans.clear()
+            self.held = 0
         own, out, front = self.lengths.of(span), {}, {span: [((), 0)]}
         for _ in range(DEPTH):
             new: dict[str, list[tuple[Chain, int]]] = {}
@@ -237,6 +239,7 @@ class Restorer:
             front = new
         out.pop(("entities",), None)  # entities alone are markup, not a wrong reading
         self.spans[span] = out
+        self.held += len(out)
         return out
 
     def line(self, line: str) -> tuple[str, Chain]:
