@@ -17,11 +17,16 @@ from pyspark.sql import types as T
 from crawlmill.config import BLOCK_TAGS, NOISE_TAGS, CrawlConfig
 from crawlmill.functions.text import collapsed, sanitized, truncated
 
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-#: An opening tag of these closes an open paragraph, with the inline tags in it.
-CLOSES_P = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li div main article nav footer aside header section table".split())
-#: Tags kept at the top level; what hangs below a kept tag is kept whole.
-KEPT = frozenset("title meta main article div a h1 h2 h3 p li nav footer aside header".split())
+# Void tags; tags whose opening closes an open paragraph with the inline
+# tags in it; tags kept at the top level, below which everything is kept.
+VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+CLOSES_P = (
+    "p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "div", "main", "article", "nav", "footer", "aside",
+    "header", "section", "table",
+)
+KEPT = (
+    "title", "meta", "main", "article", "div", "a", "h1", "h2", "h3", "p", "li", "nav", "footer", "aside", "header",
+)
 
 SCHEMA = T.StructType(
     [
@@ -190,16 +195,3 @@ def rendered_summary(parsed: Column, body_text: Column, config: CrawlConfig = Cr
     described = F.coalesce(meta["description"], meta["og:description"])
     fallback = [truncated(collapsed(sanitized(x)), config.summary_rendered) for x in (described, body_text)]
     return F.coalesce(summary_of(parsed, config, True), *[F.when(x != "", x) for x in fallback])
-
-
-def as_html(title: Column, summary: Column) -> Column:
-    """A page's stored text as HTML: one paragraph per line in an article, links of it in a nav."""
-
-    def escaped(x: Column) -> Column:
-        for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
-            x = F.replace(x, F.lit(a), F.lit(b))
-        return x
-
-    lines = F.transform(F.split(F.coalesce(summary, F.lit("")), "\n"), lambda x: F.concat(F.lit("<p>"), escaped(x), F.lit("</p>")))
-    head = F.concat(F.lit("<html><head><title>"), escaped(F.coalesce(title, F.lit(""))), F.lit("</title></head><body><nav><a href=\"/\">x</a></nav>"))
-    return F.concat(head, F.lit("<article>"), F.array_join(lines, ""), F.lit("</article><footer><p>© a footer that is long enough</p></footer></body></html>"))

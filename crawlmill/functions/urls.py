@@ -125,8 +125,12 @@ def host_of(domain: Column) -> Column:
 
 
 def domain_of(url: Column) -> Column:
-    """Host of an http(s) address in lower case, without user info and port; '' where there is none."""
-    return F.lower(F.regexp_extract(url, r"^https?://(?:[^/@?#]*@)?([^/:?#]+)", 1))
+    """Host of an http(s) address in lower case, without user info, port and the brackets of IPv6.
+
+    Where the host is empty, what stands between scheme and path; '' without a scheme of the two.
+    """
+    host = F.lower(F.regexp_extract(url, r"(?i)^https?://(?:[^/?#]*@)?\[?((?<=\[)[^\]/?#]*|[^/:?#]*)", 1))
+    return F.when(host != "", host).otherwise(F.lower(F.regexp_extract(url, r"(?i)^https?://([^/?#]*)", 1)))
 
 
 def seed_domain(url: Column) -> Column:

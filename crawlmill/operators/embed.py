@@ -32,9 +32,9 @@ def hashing_embedder(dim: int = 64, normalise: bool = True) -> Embedder:
 
 
 def first_that_loads(factories: Sequence[Callable[[], Embedder]]) -> Embedder:
-    """The embedder of the first factory that works."""
+    """The embedder of the first factory that works; a repeated one is tried once."""
     last: Exception | None = None
-    for make in factories:
+    for make in dict.fromkeys(factories):
         try:
             return make()
         except Exception as e:  # noqa: BLE001

@@ -81,10 +81,23 @@ def pagerank(links: DataFrame, rounds: int = 5, damping: float = 0.85) -> DataFr
     return ranks
 
 
-def sessions(events: DataFrame, gap_seconds: int = 1800) -> DataFrame:
-    """(user_id, session, started, ended, n): runs of a user's events with no longer gap."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(order).cast("timestamp"))
-    marked = events.withColumn("_new", F.coalesce((gap > gap_seconds * 1_000_000).cast("int"), F.lit(1)))
-    numbered = marked.withColumn("session", F.sum("_new").over(order))
-    return numbered.groupBy("user_id", "session").agg(F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count(F.lit(1)).alias("n"))
+def sessions(events: DataFrame, gap_seconds: int = 1800, span_seconds: int = 3600) -> DataFrame:
+    """(user_id, session, started, ended, n): runs of a user's events with no longer gap.
+
+    Events first become runs within spans of time, then the runs of a user are
+    strung together, so a user with a third of all events is one task per span and
+    few rows after it. Events without a time take no part.
+    """
+    micros = 1_000_000
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    timed = events.where("ts is not null").select("user_id", "event_id", "ts", at.alias("_at"), F.floor(at / F.lit(span_seconds * micros)).alias("_span"))
+    within = Window.partitionBy("user_id", "_span").orderBy("_at", "event_id")
+    new = F.coalesce((F.col("_at") - F.lag("_at").over(within) > gap_seconds * micros).cast("int"), F.lit(0))
+    marked = timed.withColumn("_new", new).withColumn("_run", F.sum("_new").over(within))
+    runs = marked.groupBy("user_id", "_span", "_run").agg(
+        F.min("ts").alias("started"), F.max("ts").alias("ended"), F.min("_at").alias("_first"), F.max("_at").alias("_last"), F.count(F.lit(1)).alias("n")
+    )
+    along = Window.partitionBy("user_id").orderBy("_span", "_run")
+    apart = F.coalesce((F.col("_first") - F.lag("_last").over(along) > gap_seconds * micros).cast("int"), F.lit(1))
+    strung = runs.withColumn("_apart", apart).withColumn("session", F.sum("_apart").over(along))
+    return strung.groupBy("user_id", "session").agg(F.min("started").alias("started"), F.max("ended").alias("ended"), F.sum("n").alias("n"))

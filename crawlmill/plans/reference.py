@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from crawlmill.config import CrawlConfig
 from crawlmill.functions import html, robots, text, urls
 from crawlmill.operators import embed, frontier, links, metrics, records, search
+from crawlmill.plans import crawl
 from crawlmill.sources.tables import table
 from crawlmill.plans.sql import KEYS as _KEYS, canon_sql
 from crawlmill.streaming import events as event_time
@@ -64,7 +65,7 @@ def _seeds(spark: SparkSession, root: str) -> DataFrame:
 # SQL of the relations above
 _Q = "(select distinct id, url, domain, priority, depth, status, attempts, needs_js, queued_at, last_attempt_at from crawler_queue)"
 _P = "(select * from pages where id in (select max(id) from pages group by url))"
-_DOM = "lower(regexp_extract({}, '^https?://(?:[^/@?#]*@)?([^/:?#]+)', 1))"
+_DOM = "lower(regexp_extract({}, '(?i)^https?://(?:[^/@?#]*@)?([^/:?#]+)', 1))"
 _FOUND = f"""(select l.source_url, lower(q.domain) as source_domain, q.depth,
     row_number() over (partition by l.source_url order by l.target_url) as pos, l.target_url, {_DOM.format('l.target_url')} as target_domain
   from (select distinct source_url, target_url from page_links) l join {_Q} q on q.url = l.source_url)"""
@@ -137,6 +138,46 @@ def link_filters(spark, root):
     )
 
 
+@query(
+    """select id, case id % 6 when 0 then 'a' || id || '.example' when 1 then 'b' || id || '.example' when 2 then '2001:db8::' || id when 3 then ':81' when 4 then '' else 'c@' end as host,
+      case id % 6 when 0 then null when 1 then 'https://u:p@b' || id || '.example:8080/x' when 2 then 'http://[2001:db8::' || id || ']:80/' when 3 then 'http://:81/' when 5 then 'http://c@/y' end as canonical
+    from pages"""
+)
+def odd_addresses(spark, root):
+    """Host and canonical form of addresses made from ids: over-long, with user info, in capitals, IPv6, without host, of another scheme."""
+    i = F.col("id")
+    forms = (
+        F.concat(F.format_string("https://a%d.example/", i), F.repeat(F.lit("y"), 1800)),
+        F.format_string("HTTPS://U:p@B%d.Example:8080/x?utm_id=1#f", i),
+        F.format_string("http://[2001:db8::%d]:80", i),
+        F.lit("http://:81/"),
+        F.format_string("ftp://d%d.example/", i),
+        F.lit("http://c@/y;v?a="),
+    )
+    made = F.element_at(F.array(*forms), (i % 6 + 1).cast("int"))
+    rows = table(spark, root, "pages").select("id", made.alias("url"))
+    return rows.select("id", urls.domain_of(F.col("url")).alias("host"), urls.canonical(F.col("url")).alias("canonical"))
+
+
+_INNER = "'https://in' || id || '.example/x'"
+
+
+@query(
+    f"""select id, case id % 4 when 0 then {_INNER} when 1 then null when 2 then null else 'https://notyoutube.example/redirect?q=' || id end as canonical from pages"""
+)
+def redirects(spark, root):
+    """Canonical form of redirects made from ids: followed, without target, with an excluded host around it, of another host."""
+    i = F.col("id")
+    forms = (
+        F.format_string("https://notyoutube.com/redirect?z=1&q=https%%3A%%2F%%2Fin%d.example%%2Fx%%3Futm_id%%3D1", i),
+        F.lit("https://notyoutube.com/redirect?q="),
+        F.format_string("https://www.youtube.com/redirect?q=https%%3A%%2F%%2Fin%d.example", i),
+        F.format_string("https://notyoutube.example/redirect?q=%d", i),
+    )
+    made = F.element_at(F.array(*forms), (i % 4 + 1).cast("int"))
+    return table(spark, root, "pages").select("id", urls.canonical(made).alias("canonical"))
+
+
 # --- queue
 
 
@@ -355,22 +396,29 @@ def robots_blocked(spark, root):
 
 
 def _attempts(spark, root) -> DataFrame:
-    """Attempts on all queue rows, with outcomes that follow from their ids."""
+    """Attempts on all queue rows: what is fetched is the latest page of the address.
+
+    Without a page the row is not found if it is marked as failed, else it times
+    out; a deleted page is gone, a pending one is no HTML.
+    """
     rows = records.ruled(_queue(spark, root), table(spark, root, "domain_rules"))
-    k = F.col("id") % 10
-    return rows.select(
+    page = _latest_pages(spark, root).select("url", F.col("status").alias("_status"), "summary", F.lit(True).alias("_page"))
+    got, lost = rows.join(page, "url", "left"), F.col("_page").isNull()
+    return got.select(
         F.col("id").alias("item_id"), "blocked", robots.robots_blocked(F.col("robots_txt"), urls.path_of(F.col("url"))).alias("robots_blocked"),
-        F.when(k == 0, "timeout").alias("fetch_error"),
-        F.when(k == 1, 404).when(k == 2, 500).when(k != 0, 200).alias("http_status"),
-        F.when(k == 3, "application/pdf").when(k != 0, "text/html; charset=utf-8").alias("content_type"),
-        F.when(k == 4, "").when(k != 5, F.concat(F.lit("text "), F.col("id").cast("string"))).alias("summary"),
+        F.when(lost & (F.coalesce("status", F.lit("")) != "failed"), "timeout").alias("fetch_error"),
+        F.when(lost, 404).when(F.col("_status") == "deleted", 410).otherwise(200).alias("http_status"),
+        F.when(F.col("_status") == "pending", "application/pdf").otherwise("text/html; charset=utf-8").alias("content_type"),
+        "summary",
     )
 
 
-_RESULT = f"""(select id as item_id, case when blocked then 'dominio_bloqueado' when rb then 'bloqueado_robots' when id % 10 = 0 then 'timeout'
-    when id % 10 = 1 then 'http_404' when id % 10 = 2 then 'http_500' when id % 10 = 3 then 'nao_html' when id % 10 in (4, 5) then 'sem_conteudo' end as error
-  from (select q.id, coalesce(d.blocked, false) as blocked, exists (select 1 from {_RULES} r where r.domain = q.domain
-      and starts_with(regexp_extract(q.url, '^https?://[^/?#]*([^?#]*)', 1), r.rule)) as rb from {_Q} q left join domain_rules d using (domain)))"""
+_RESULT = f"""(select id as item_id, case when blocked then 'dominio_bloqueado' when rb then 'bloqueado_robots'
+    when lost and coalesce(qs, '') <> 'failed' then 'timeout' when lost then 'http_404' when ps = 'deleted' then 'http_410'
+    when ps = 'pending' then 'nao_html' when coalesce(summary, '') = '' then 'sem_conteudo' end as error
+  from (select q.id, q.status as qs, p.url is null as lost, p.status as ps, p.summary, coalesce(d.blocked, false) as blocked,
+      exists (select 1 from {_RULES} r where r.domain = q.domain and starts_with(regexp_extract(q.url, '^https?://[^/?#]*([^?#]*)', 1), r.rule)) as rb
+    from {_Q} q left join domain_rules d on d.domain = q.domain left join {_P} p on p.url = q.url))"""
 
 
 @query(f"select item_id, error is null as ok, error, coalesce(error = 'sem_conteudo', false) as needs_js from {_RESULT}")
@@ -440,6 +488,19 @@ def chunk_rows(spark, root):
     return frontier.in_chunks(table(spark, root, "pages").select("id", "domain", "url"), "domain", ["url", "id"], 250).select("id", "chunk")
 
 
+def _escaped(x: Column) -> Column:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        x = F.replace(x, F.lit(a), F.lit(b))
+    return x
+
+
+def _as_html(title: Column, summary: Column) -> Column:
+    """A page's stored text as HTML: one paragraph per line in an article, a link in a nav, a footer."""
+    lines = F.transform(F.split(F.coalesce(summary, F.lit("")), "\n"), lambda x: F.concat(F.lit("<p>"), _escaped(x), F.lit("</p>")))
+    head = F.concat(F.lit("<html><head><title>"), _escaped(F.coalesce(title, F.lit(""))), F.lit("</title></head><body><nav><a href=\"/\">x</a></nav>"))
+    return F.concat(head, F.lit("<article>"), F.array_join(lines, ""), F.lit("</article><footer><p>© a footer that is long enough</p></footer></body></html>"))
+
+
 _LINES = f"""(select id, title, list_filter(list_transform(string_split(coalesce(summary, ''), chr(10)),
     lambda x: regexp_replace(x, '^{_WS}|{_WS}$', '', 'g')), lambda x: length(x) >= 30) as l from pages)"""
 
@@ -449,18 +510,80 @@ _LINES = f"""(select id, title, list_filter(list_transform(string_split(coalesce
       '{_WS}', ' ', 'g')), '(?s).'), 1, 1000), ''), '') as summary from {_LINES}"""
 )
 def page_summary(spark, root):
-    pages = table(spark, root, "pages").select("id", html.as_html(F.col("title"), F.col("summary")).alias("html"))
+    pages = table(spark, root, "pages").select("id", _as_html(F.col("title"), F.col("summary")).alias("html"))
     return pages.select("id", html.parse_html("html").alias("page")).select("id", html.summary_of(F.col("page"), CONFIG).alias("summary"))
 
 
 @query(f"select id, nullif(regexp_replace(title, '^{_WS}|{_WS}$', '', 'g'), '') as title from pages")
 def page_title(spark, root):
-    pages = table(spark, root, "pages").select("id", html.as_html(F.col("title"), F.col("summary")).alias("html"))
+    pages = table(spark, root, "pages").select("id", _as_html(F.col("title"), F.col("summary")).alias("html"))
     parsed = pages.select("id", html.parse_html("html").alias("page"))
     title = html.title_of(F.col("page"))
     return parsed.select("id", F.when(title != "", title).alias("title"))
 
 
+def _shaped() -> Column:
+    """Pages in other shapes: lines as paragraph, list item, heading and aside in turn, some without title or text, with meta tags for those."""
+    i = F.col("id")
+
+    def tag(name: str, x: Column) -> Column:
+        return F.concat(F.lit(f"<{name}>"), x, F.lit(f"</{name}>"))
+
+    def shaped(x: Column, n: Column) -> Column:
+        text, turn = _escaped(x), (n + 1) % 4
+        return F.when(turn == 1, tag("p", text)).when(turn == 2, tag("li", text)).when(turn == 3, tag("h2", text)).otherwise(tag("aside", tag("p", text)))
+
+    def meta(test: Column, kind: str, name: str, text: str) -> Column:
+        return F.when(test, F.format_string(f'<meta {kind}="{name}" content="{text} %d">', i)).otherwise("")
+
+    lines = F.when(i % 6 != 0, F.array_join(F.transform(F.split(F.coalesce("summary", F.lit("")), "\n"), shaped), "")).otherwise("")
+    return F.concat(
+        F.lit("<html><head>"), tag("title", F.when(i % 3 != 0, _escaped(F.coalesce("title", F.lit("")))).otherwise("")),
+        meta(i % 2 == 0, "property", "og:title", "og"), meta(i % 5 == 0, "name", "twitter:title", "tw"),
+        meta(i % 4 == 0, "name", "description", "about"), meta(i % 4 < 2, "property", "og:description", "og about"),
+        F.lit("</head><body><article>"), lines, F.lit("</article></body></html>"),
+    )
+
+
+_SHAPED = f"""(select id, title, list_filter(list_transform(string_split(coalesce(summary, ''), chr(10)), lambda x: trim(regexp_replace(x, '{_WS}', ' ', 'g'))),
+    lambda x, i: i % 4 <> 0 and length(x) >= case when i % 4 = 3 then {CONFIG.min_heading} else {CONFIG.min_text} end) as l from pages)"""
+
+
+@query(
+    f"""select id, coalesce(case when id % 3 <> 0 then nullif(regexp_replace(title, '^{_WS}|{_WS}$', '', 'g'), '') end,
+        case when id % 2 = 0 then 'og ' || id when id % 5 = 0 then 'tw ' || id end) as title,
+      coalesce(case when id % 6 <> 0 then nullif(array_to_string(list_slice(regexp_extract_all(array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' '),
+        '(?s).'), 1, {CONFIG.summary_rendered}), ''), '') end, case id % 4 when 0 then 'about ' || id when 1 then 'og about ' || id end,
+        case when id % 10 <> 0 then 'body ' || id end) as summary from {_SHAPED}"""
+)
+def rendered_page(spark, root):
+    """Title and text of rendered pages, with what stands in for them."""
+    body = F.when(F.col("id") % 10 != 0, F.format_string("body %d", "id"))
+    parsed = table(spark, root, "pages").select("id", body.alias("body"), html.parse_html(_shaped()).alias("page"))
+    page = F.col("page")
+    return parsed.select("id", html.title_of(page, True).alias("title"), html.rendered_summary(page, F.col("body"), CONFIG).alias("summary"))
+
+
+_BASE = "'https://site' || id % 7 || '.example'"
+
+
+@query(
+    f"""select {_BASE} || '/a/' || id as source_url, 0 as pos, {_BASE} || '/p/' || id as target_url, 'site' || id % 7 || '.example' as target_domain from pages
+      union all select {_BASE} || '/a/' || id, 4, 'https://other' || id % 5 || '.example/q?b=1', 'other' || id % 5 || '.example' from pages
+      union all select {_BASE} || '/a/' || id, 5, 'https://h' || id % 3 || '.example/z', 'h' || id % 3 || '.example' from pages"""
+)
+def page_hrefs(spark, root):
+    """Links of pages made from their ids: noise, repeats once resolved, tracking, parameters, fragments, mail."""
+    i = F.col("id")
+    made = F.format_string(
+        '<nav><a href="/nav">x</a></nav><article><a href="/p/%d?utm_source=x">a</a><a href="#top">b</a><a href=" /p/%d ">c</a><a href="mailto:x@y">d</a>'
+        '<a href="https://other%d.example/q?b=1&amp;a=">e</a><a href="//H%d.Example/z;v">f</a></article>', i, i, i % 5, i % 3,
+    )
+    pages = table(spark, root, "pages").select(F.format_string("https://site%d.example/a/%d", i % 7, i).alias("url"), html.parse_html(made).alias("page"))
+    ok = pages.select("url", urls.domain_of(F.col("url")).alias("domain"), F.lit(0).alias("depth"), F.col("page.links").alias("hrefs"))
+    return crawl.found_links(ok).select("source_url", "pos", "target_url", "target_domain")
+
+
 @query(f"select id, 'search_document: ' || summary as text from {_P} where status = 'indexed' and embedding is null and summary is not null and summary <> ''")
 def pending_embeddings(spark, root):
     return records.pending_embeddings(_latest_pages(spark, root)).select("id", text.embedding_text(F.col("summary")).alias("text"))
@@ -598,12 +721,12 @@ def _rank_sql(rounds: int) -> str:
     out = f"with e as (select l.*, n from {_EDGE} l join (select source_url, count(*) as n from {_EDGE} group by 1) using (source_url)), r0 as (select url, 1.0::double as rank from (select source_url as url from e union select target_url from e))"
     for i in range(1, rounds + 1):
         out += f", r{i} as (select r.url, 0.15 + 0.85 * coalesce(g, 0) as rank from r{i - 1} r left join (select target_url, sum(rank / n) as g from e join r{i - 1} on url = source_url group by 1) on url = target_url)"
-    return out + f" select url, round(rank + 1.234e-7, 4) as rank from r{rounds}"
+    return out + f" select url, rank::float::double as rank from r{rounds}"
 
 
 @query(_rank_sql(3))
 def pagerank(spark, root):
-    return search.pagerank(table(spark, root, "page_links"), 3).select("url", F.round(F.col("rank") + 1.234e-7, 4).alias("rank"))
+    return search.pagerank(table(spark, root, "page_links"), 3).select("url", F.col("rank").cast("float").cast("double").alias("rank"))
 
 
 @query(
@@ -626,7 +749,7 @@ def event_windows(spark, root):
 
 @query(
     """select user_id, cast(s as bigint) as session, count(*) as n from (select *, sum(b) over (partition by user_id order by ts, event_id) as s from
-      (select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) <= interval 30 minute then 0 else 1 end as b from events)) group by 1, 2"""
+      (select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) <= interval 30 minute then 0 else 1 end as b from events where ts is not null)) group by 1, 2"""
 )
 def event_sessions(spark, root):
     return search.sessions(table(spark, root, "events")).select("user_id", "session", "n")

@@ -42,9 +42,15 @@ class SnapshotStore:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.version()[name])
 
-    def commit(self, tables: dict[str, DataFrame]) -> dict[str, str]:
-        """Writes ``tables`` and makes them current together; other tables stay."""
+    def batch(self, stream: str) -> int:
+        """The last micro-batch of ``stream`` that the current version holds; -1 for none."""
+        return int(self.version().get(f"batch of {stream}", -1))
+
+    def commit(self, tables: dict[str, DataFrame], batch: tuple[str, int] | None = None) -> dict[str, str]:
+        """Writes ``tables`` and makes them current together, with (stream, micro-batch) they come from; other tables stay."""
         stamp, new = uuid.uuid4().hex, self.version()
+        if batch is not None:
+            new[f"batch of {batch[0]}"] = str(batch[1])
         for name, df in tables.items():
             path = f"{self.root}/{name}/{stamp}"
             df.write.parquet(path)

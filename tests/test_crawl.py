@@ -160,6 +160,13 @@ def test_stream_of_addresses(spark, tmp_path):
     q = crawl_stream.start(rows, site(spark), store, str(tmp_path / "ck"))
     q.awaitTermination(120)
     assert {r.url for r in store.read("pages").collect()} == {"https://a.example/", "https://a.example/b"}
+    # the batch runs again after its tables were stored: nothing is claimed a second time
+    before = store.version()
+    assert store.batch(str(tmp_path / "ck")) == 0 and store.batch("another") == -1
+    for commit in (tmp_path / "ck" / "commits").iterdir():
+        commit.unlink()
+    crawl_stream.start(rows, site(spark), store, str(tmp_path / "ck")).awaitTermination(120)
+    assert store.version() == before
 
 
 def test_event_stream_equals_batch(spark, tmp_path):
@@ -175,6 +182,26 @@ def test_event_stream_equals_batch(spark, tmp_path):
         assert got == want if mode == "complete" else got <= want
 
 
+def test_sessions_over_spans_of_time(spark):
+    from datetime import timedelta
+
+    start = datetime(2026, 1, 1)
+    minutes = [0, 10, 39, 40, 69, 70, 99, 130, 200, 200, 229, 260, 1000]
+    rows = [(1, k, start + timedelta(minutes=m)) for k, m in enumerate(minutes)] + [(None, 99, start), (2, 100, None)]
+    events_ = spark.createDataFrame(rows, "user_id long, event_id long, ts timestamp")
+    want, last = [], None
+    for m in minutes:
+        if last is None or m - last > 30:
+            want.append(0)
+        want[-1] += 1
+        last = m
+    for span in (60, 3600, 86_400):
+        got = search.sessions(events_, 1800, span).orderBy("session").collect()
+        assert [r.n for r in got if r.user_id == 1] == want
+        assert [(r.session, r.n) for r in got if r.user_id is None] == [(1, 1)] and not [r for r in got if r.user_id == 2]
+    assert search.sessions(events_.limit(0)).count() == 0
+
+
 def test_search_forms(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, [1.0, 1.0]), (4, None), (5, [0.0, 0.0]), (6, [1.0])], "vec_id long, embedding array<float>")
     assert [r.vec_id for r in search.top_k(v, [1.0, 0.1], 2).collect()] == [1, 3]

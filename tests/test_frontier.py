@@ -1,12 +1,12 @@
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from crawlmill.config import CrawlConfig
 from crawlmill.operators import embed, frontier, links, metrics, records
 
 
-
 def ts():
     return F.lit("2026-01-01 00:00:00").cast("timestamp")
 
@@ -155,6 +155,16 @@ def test_embedder_parts():
 
     assert embed.first_that_loads([broken, embed.hashing_embedder])(["x"]).shape == (1, 64)
 
+    tried = []
+
+    def failing():
+        tried.append(1)
+        raise OSError("no model")
+
+    with pytest.raises(RuntimeError):
+        embed.first_that_loads([failing, failing])
+    assert len(tried) == 1
+
 
 def test_figures(spark):
     row = spark.range(1).select(

@@ -66,6 +66,15 @@ def test_host_of(spark):
     assert [r.h for r in rows] == [b for _, b in cases]
 
 
+def test_domain_of(spark):
+    cases = [
+        ("HTTPS://u:p@A.Example:8/x", "a.example"), ("http://[2001:DB8::1]:80/", "2001:db8::1"), ("http://[::1]", "::1"), ("http://:81/x", ":81"),
+        ("http://u@/x", "u@"), ("http://a@b@h.example?q=@z", "h.example"), ("ftp://h/x", ""), ("http://", ""), ("", ""), (None, None),
+    ]
+    rows = spark.createDataFrame([(a,) for a, _ in cases], "u string").select(urls.domain_of(F.col("u")).alias("h")).collect()
+    assert [r.h for r in rows] == [b for _, b in cases]
+
+
 def test_filters(spark):
     row = spark.range(1).select(
         urls.is_excluded(F.lit("m.x.com")).alias("a"),
