@@ -133,6 +133,27 @@ def pack(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return out.select("container", place, "length", *ITEM_KEY)
 
 
+def faults(counts: DataFrame, packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row of counts over a packing of ``counts``, all 0 in a right one.
+
+    missing, doubled: pieces that should be there or are there too often, a text
+    cut without need among them; overfull: containers with more than ``capacity``
+    tokens; overlapping: pieces that reach into the next one of their container.
+    """
+    key = ["doc_id", "piece", "start", "length"]
+    there = packed.select(*key, F.lit(1).alias("d")).unionByName(pieces(counts, capacity).select(*key, F.lit(-1).alias("d")))
+    off = there.groupBy(*key).agg(F.sum("d").alias("d")).agg(
+        F.coalesce(F.sum(F.greatest(-F.col("d"), F.lit(0))), F.lit(0)).alias("missing"),
+        F.coalesce(F.sum(F.greatest("d", F.lit(0))), F.lit(0)).alias("doubled"),
+    )
+    along = Window.partitionBy("container").orderBy("place", *key)  # a container has at most ``capacity`` pieces
+    over = F.col("place") + F.col("length") > F.lead("place").over(along)
+    full = packed.withColumn("over", over).groupBy("container").agg(F.sum("length").alias("tokens"), F.count_if("over").alias("over")).agg(
+        F.count_if(F.col("tokens") > capacity).alias("overfull"), F.coalesce(F.sum("over"), F.lit(0)).alias("overlapping")
+    )
+    return off.crossJoin(full)
+
+
 def fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(containers, tokens, unused, share_used) of a packing; the share is null where there is no container."""
     used = packed.agg(F.countDistinct("container").alias("containers"), F.coalesce(F.sum("length"), F.lit(0)).alias("tokens"))

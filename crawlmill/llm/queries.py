@@ -116,6 +116,12 @@ def p9_fill(spark: SparkSession, root: str) -> DataFrame:
     return packing.fill(p9_containers(spark, root))
 
 
+def p9_faults(spark: SparkSession, root: str) -> DataFrame:
+    """Missing, doubled, overfull and overlapping pieces of the packing."""
+    counts = cut(tokens.token_counts(table(spark, root, "documents")))
+    return packing.faults(counts, cut(packing.pack(counts)))
+
+
 def p10_restored(spark: SparkSession, root: str) -> DataFrame:
     """Garbled documents with their text as far as it can be restored, and the chain that restores it."""
     dictionaries = encoding.fit_dictionaries(table(spark, root, "lang_samples"))
@@ -132,6 +138,7 @@ QUERIES = {
     "p8_ids": p8_ids,
     "p9_containers": p9_containers,
     "p9_fill": p9_fill,
+    "p9_faults": p9_faults,
     "p10_found": p10_found,
     "p10_restored": p10_restored,
     "p7_found": p7_found,
@@ -152,6 +159,8 @@ _SPACE = r"[\t\r\f\v \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{20
 
 #: p2_found compares all pairs; for the small tables of the SQL check only.
 SQL: dict[str, str] = {
+    # what a right packing of any table has
+    "p9_faults": "select 0 as missing, 0 as doubled, 0 as overfull, 0 as overlapping",
     "p6_repeated": f"""
         with l as (select id, coalesce(url, '') as u, coalesce({_HOST}, '?' || url, '?') as h, unnest(string_split(summary, chr(10))) as line,
             generate_subscripts(string_split(summary, chr(10)), 1)::int as line_no from pages where summary is not null),

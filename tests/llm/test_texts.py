@@ -42,18 +42,21 @@ def profiles(spark):
 def test_language_held_out(spark):
     rows = [(r.lang, r.text) for r in spark.read.parquet(f"{ROOT}/lang_samples.parquet").orderBy("sample_id").collect()]
     fitted = language.Profiles.fit(rows[::2])
-    sums, n = fitted.scores(flat.Flat([t for _, t in rows[1::2]]))
+    sums, n, _ = fitted.scores(flat.Flat([t for _, t in rows[1::2]]))
     assert np.mean([fitted.langs[k] == lang for k, (lang, _) in zip(sums.argmax(1), rows[1::2])]) > 0.97
 
 
 def test_trigram_table_is_the_bundled_dot_product():
-    fitted = language.Profiles.fit([("a", "abc abd"), ("b", "xyz xyw")])
-    codes, _ = language.trigrams(flat.Flat(["abc xyz"]))
-    bundle = language.trigram_vectors(codes).sum(0)
-    again = language.Profiles.fit([("a", "abc abd"), ("b", "xyz xyw")])
-    assert np.allclose(fitted.table, again.table)
-    sums, _ = fitted.scores(flat.Flat(["abc xyz"]))
-    assert abs(sums[0, 0] + sums[0, 1]) < 1e-2 or np.isfinite(bundle @ bundle)
+    langs, vectors = language.prototypes([("a", "abc abd the cat"), ("b", "xyz xyw der hund"), ("c", "o gato come")])
+    fitted = language.Profiles.of(langs, vectors)
+    texts = ["abc xyz", "the cat the cat the cat and der hund", "o gato come o gato come", "123", ""]
+    sums, n, norms = fitted.scores(flat.Flat(texts))
+    for i, text in enumerate(texts):
+        codes, _ = language.trigrams(flat.Flat([text]))
+        bundle = language.trigram_vectors(codes).sum(0)
+        assert n[i] == len(codes)
+        assert np.allclose(sums[i], bundle @ vectors.T / np.sqrt(language.DIMENSIONS), atol=1e-3)
+        assert abs(norms[i] - np.linalg.norm(bundle) / np.sqrt(language.DIMENSIONS)) <= 0.05 * norms[i]
 
 
 def test_languages_of_pages_and_lines(spark, profiles):
@@ -383,6 +386,24 @@ def test_packing(spark, monkeypatch, run):
     assert n == rounds_by_hand(parts, 64) and n <= 1.1 * sum(sizes.values()) / 64
     filled = packing.fill(packed, 64).first()
     assert (filled.containers, filled.tokens, filled.unused) == (n, sum(sizes.values()), n * 64 - sum(sizes.values()))
+    assert tuple(packing.faults(counts, packed, 64).first()) == (0, 0, 0, 0)
+
+
+def test_faults_of_a_packing(spark):
+    counts = spark.createDataFrame([(1, 5), (1, 5), (2, 20), (3, None), (None, 2)], "doc_id long, tokens int").withColumn("place", F.lit("clash"))
+    columns = "container long, place long, length int, doc_id long, piece int, start int"
+    right = [(0, 0, 16, 2, 0, 0), (1, 0, 5, 1, 0, 0), (1, 5, 5, 1, 0, 0), (1, 10, 4, 2, 1, 16), (1, 14, 2, None, 0, 0)]
+
+    def found(rows):
+        return tuple(packing.faults(counts, spark.createDataFrame(rows, columns), 16).first())
+
+    assert found(right) == (0, 0, 0, 0)
+    assert found(right[1:]) == (1, 0, 0, 0)
+    assert found([*right, (2, 0, 5, 1, 0, 0)]) == (0, 1, 0, 0)
+    assert found([*right[:2], (1, 4, 5, 1, 0, 0), *right[3:]]) == (0, 0, 0, 1)
+    assert found([(1, 16, 16, 2, 0, 0), *right[1:]]) == (0, 0, 1, 0)
+    assert found([*right[:1], (1, 0, 3, 1, 0, 0), (1, 3, 2, 1, 1, 3), *right[2:]]) == (1, 2, 0, 0)
+    assert tuple(packing.faults(counts.limit(0), spark.createDataFrame([], columns), 16).first()) == (0, 0, 0, 0)
 
 
 def test_packing_of_little(spark):
