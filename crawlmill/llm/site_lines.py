@@ -2,10 +2,11 @@
 
 Names, numbers and dates of a line are masked and its words hashed to MinHash bands.
 Lines of a host that share a bucket come together, and only those of buckets with
-enough lines go on. Among them an exact count of addresses per text finds repeated
-lines, texts being equal but for case, white space and digits; and clusters of texts
-that are like a leader, by sketches of their masked words, find lines that repeat with
-changing names, as bylines do.
+enough documents go on. Texts that are like a leader, by sketches of their masked
+words, form clusters, and clusters with enough documents hold the lines that repeat,
+with changing names too, as bylines do. Among the texts of such clusters an exact count
+of addresses finds repeated lines, texts being equal but for case, white space and
+digits.
 """
 
 from __future__ import annotations
@@ -32,32 +33,27 @@ TEXT = ["host", "k1", "k2"]
 
 
 def crowded(lines: DataFrame, band: str, least: int = LEAST_PAGES) -> DataFrame:
-    """The lines whose bucket of ``band`` holds at least ``least`` lines of their host; titles take no part."""
-    rows = lines.where("line_no > 0")
-    dense = rows.groupBy("host", band).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    return salted_semi_join(rows, dense, ["host", band], "n")
-
+    """The lines whose bucket of ``band`` holds lines of at least ``least`` documents (different url) of their host; titles take no part.
 
-def frequent_texts(lines: DataFrame, least: int = LEAST_PAGES) -> DataFrame:
-    """(host, k1, k2, lines) of texts on at least ``least`` pages (different url) of a host.
-
-    Counts are reduced per text and address before anything else moves, so a text
-    on a third of all pages costs one row per task and address.
+    Counts are reduced per bucket and address before anything else moves, so a bucket
+    of a third of all pages costs one row per task and address.
     """
-    by_address = lines.groupBy(*TEXT, "url_hash").agg(F.count(F.lit(1)).alias("n"))
-    states = by_address.groupBy(*TEXT).agg(F.count(F.lit(1)).alias("pages"), F.sum("n").alias("lines"))
-    return states.where(F.col("pages") >= least).drop("pages")
+    rows = lines.where("line_no > 0")
+    by_address = rows.groupBy("host", band, "url_hash").agg(F.count(F.lit(1)).alias("n"))
+    buckets = by_address.groupBy("host", band).agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("n"))
+    return salted_semi_join(rows, buckets.where(F.col("documents") >= least), ["host", band], "n")
 
 
 def repeated_lines(lines: DataFrame, least: int = LEAST_PAGES) -> DataFrame:
     """(id, line_no) of the lines, as ``line_signs``, whose text stands on at least ``least`` pages (different url) of their host.
 
-    A text that often fills a bucket by itself, so only lines of crowded buckets are
-    counted. Equal lines within a page count once. A page without a domain is
-    compared with no other. Empty inputs give no row.
+    The rows come from ``clusters``: of the texts of each the exact count of addresses
+    tells those that repeat as they are from those that repeat with changing names
+    only. Equal lines within a page count once. A page without a domain is compared
+    with no other. Empty inputs give no row.
     """
-    near = cut(crowded(lines.select("id", "line_no", "url_hash", *TEXT, "b0"), "b0", least))
-    return salted_semi_join(near.select("id", "line_no", *TEXT), frequent_texts(near, least), TEXT, "lines").select("id", "line_no")
+    found = clusters(lines, least).where(F.col("pages") >= least).select(*TEXT, "lines").distinct()
+    return salted_semi_join(lines.where("line_no > 0").select("id", "line_no", *TEXT), found, TEXT, "lines").select("id", "line_no")
 
 
 def _alike(a: str, b: str) -> Column:
@@ -68,7 +64,7 @@ def _alike(a: str, b: str) -> Column:
 
 
 def clusters(lines: DataFrame, least: int = LEAST_PAGES) -> DataFrame:
-    """(host, k1, k2, l1, l2, lines, documents): texts of each cluster with at least ``least`` documents, and the text that leads it.
+    """(host, k1, k2, l1, l2, pages, lines, documents): texts of each cluster with at least ``least`` documents, with their own pages, and the text that leads it.
 
     In every bucket the text on most pages leads, and texts at least ``SIMILAR`` to it
     join its cluster; so a text may be in a cluster of each band. A text on ``least``
@@ -77,9 +73,11 @@ def clusters(lines: DataFrame, least: int = LEAST_PAGES) -> DataFrame:
     """
     sketch = ("b0", "b1", "bins", "parity")
     rows = lines.select("url_hash", *TEXT, "line_no", *sketch)
-    dense = crowded(rows, "b0", least).unionByName(crowded(rows, "b1", least))
     least_of = [F.min(c).alias(c) for c in sketch]
-    near = cut(dense.groupBy(*TEXT, "url_hash").agg(F.count(F.lit(1)).alias("n"), *least_of))
+    dense = crowded(rows, "b0", least).unionByName(crowded(rows, "b1", least)).groupBy(*TEXT).agg(F.count(F.lit(1)).alias("n"), *least_of)
+    # such a text counts with all its lines, those too that other case has brought to other buckets
+    met = salted_join(rows.where("line_no > 0").select("url_hash", *TEXT), dense, TEXT, "n")
+    near = cut(met.groupBy(*TEXT, "url_hash").agg(F.count(F.lit(1)).alias("n"), *least_of))
     texts = cut(near.groupBy(*TEXT).agg(F.count(F.lit(1)).alias("pages"), F.sum("n").alias("lines"), *least_of))
     bands = F.explode(F.array(*[F.struct(F.lit(i).alias("band"), F.col(f"b{i}").alias("bucket")) for i in (0, 1)])).alias("x")
     member = texts.select(*TEXT, "pages", "lines", F.struct("bins", "parity").alias("own"), bands).select(*TEXT, "pages", "lines", "own", "x.*")
@@ -94,7 +92,7 @@ def clusters(lines: DataFrame, least: int = LEAST_PAGES) -> DataFrame:
     leads = joined.groupBy(*TEXT).agg(F.first("pages").alias("pages"), F.collect_set(F.struct("l1", "l2")).alias("leads"))
     led = salted_join(near.select(*TEXT, "url_hash"), leads, TEXT, "pages").select("host", "url_hash", F.explode("leads").alias("x"))
     documents = led.select("host", "x.*", "url_hash").distinct().groupBy("host", "l1", "l2").agg(F.count(F.lit(1)).alias("documents"))
-    return joined.join(documents.where(F.col("documents") >= least), ["host", "l1", "l2"]).select(*TEXT, "l1", "l2", "lines", "documents")
+    return joined.join(documents.where(F.col("documents") >= least), ["host", "l1", "l2"]).select(*TEXT, "l1", "l2", "pages", "lines", "documents")
 
 
 def cluster_report(found: DataFrame, lines: DataFrame) -> DataFrame:

@@ -190,6 +190,26 @@ def test_repeated_lines_against_brute_force(spark, samples):
     assert site_lines.repeated_lines(signs.line_signs(pages.limit(0), samples)).count() == 0
 
 
+def test_repeated_lines_come_from_clusters(spark, samples, monkeypatch):
+    """Lines come from buckets of enough documents and by clusters of both bands; the exact count decides among the texts of these alone."""
+    schema = "id long, line_no int, host string, url_hash long, k1 long, k2 long, b0 int, b1 int, bins long, parity long"
+    row = lambda i, host, b0, b1, url: (i, 1, host, url, 5, 6, b0, b1, 7, 3)
+    masked = [row(i, "a", i, 1, i) for i in range(12)]  # the band of the masked words alone brings them together
+    copies = [row(100 + i, "b", 2, 2, i % 6) for i in range(12)]  # twelve lines of six documents
+    cased = [row(200 + i, "c", i, 1 + i // 10, i) for i in range(12)]  # two lines in a sparse bucket count in their text's cluster
+    lines = spark.createDataFrame(masked + copies + cased + [(r[0], 0, *r[2:]) for r in masked], schema)
+    assert {tuple(r) for r in site_lines.repeated_lines(lines).collect()} == {(r[0], 1) for r in masked + cased}
+    assert site_lines.crowded(lines, "b0").count() == 0
+    assert {r.host for r in site_lines.crowded(lines, "b0", 6).collect()} == {"b"}
+    report = site_lines.cluster_report(site_lines.clusters(lines, 6), lines).collect()
+    assert sorted((r.host, r.lines, r.documents) for r in report) == [("a", 12, 12), ("b", 12, 6), ("c", 12, 12)]
+    # bylines with changing names are a cluster of the same site, but no text of it is on ten pages
+    real = site_lines.clusters
+    pages = signs.line_signs(pages_of(spark, named_pages(spark)), samples)
+    monkeypatch.setattr(site_lines, "clusters", lambda *a: real(*a).where("pages < 10"))
+    assert site_lines.repeated_lines(pages).count() == 0
+
+
 def named_pages(spark):
     """Bylines that no two pages share, a notice that all have, and sentences of their own."""
     g = random.Random(8)
