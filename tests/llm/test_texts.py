@@ -106,6 +106,24 @@ def samples(spark):
     return spark.read.parquet(f"{ROOT}/lang_samples.parquet")
 
 
+def test_function_words_of_all_samples(spark, samples):
+    rows = [(i, "xx", "comum " + ("" if i < 2000 else "tarde Straße") + ("cedo" if i < 320 else "")) for i in range(2500)]
+    rows += [(3000, "yy", "12"), (3001, "yy", " "), (3002, "zz", "só"), (3003, None, "nada"), (3004, None, "nada"), (3005, "yy", None)]
+    hash_of = lambda *x: set(signs.Words(flat.Flat(list(x))).hash.tolist())
+    schema = "sample_id long, lang string, text string"
+    got = set(signs.function_words(spark.createDataFrame(rows, schema).repartition(5)).tolist())
+    # tarde stands in 500 of 2,500, none of them among the first 2,000; cedo in 320 of them, which is less than the share of all
+    assert got == hash_of("comum", "tarde", "strasse")
+    assert signs.function_words(spark.createDataFrame([], schema)).tolist() == []
+    given, by_lang = {}, {}
+    for r in samples.collect():
+        words = signs.Words(flat.Flat([r.text.replace("ß", "ss")]))
+        by_lang[r.lang] = by_lang.get(r.lang, 0) + 1
+        for w in set(words.hash[~words.number].tolist()):
+            given[r.lang, w] = given.get((r.lang, w), 0) + 1
+    assert set(signs.function_words(samples).tolist()) == {w for (lang, w), n in given.items() if n >= max(2, 0.15 * by_lang[lang])}
+
+
 def content(g):
     """A sentence that no other page has."""
     return f"O projeto {g.randrange(10**9)} da {g.choice(['rede', 'prefeitura'])} mostra que o {g.choice(['painel', 'portal'])} N{g.randrange(10**9)}x{''.join(g.choices('abcdefg', k=9))} transforma o cálculo das rotas."
